@@ -50,7 +50,49 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract_text
+
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op3_sentencepiece, op4_exact_dedup, op6_best_fit_packing, op9_substring_dedup)
+    f.__name__: f
+    for f in (
+        op1_secret_scans,
+        op2_simhash_near_dedup,
+        op3_sentencepiece,
+        op4_exact_dedup,
+        op5_pii,
+        op6_best_fit_packing,
+        op7_toxicity,
+        op8_html_extraction,
+        op9_substring_dedup,
+        op10_quality_rules,
+    )
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
