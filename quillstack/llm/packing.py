@@ -3,9 +3,9 @@
 1. Tasks tokenize; a document longer than a sequence is cut so that only its first piece may be shorter. Each task also numbers
    its pieces of a length, so ranks over the whole corpus are a sum of counts away: no global sort.
 2. The histogram of lengths (at most ``capacity`` numbers) goes to the driver. The covering program "use each length as often as
-   it occurs with the fewest sequences" is solved by multiplicative weights: each round prices the lengths, a knapsack dynamic
-   program finds the dearest configuration that fits, and the weights of the lengths it serves fall. The averaged configurations
-   are rounded down and the remainder is packed best-fit, longest first.
+   it occurs with the fewest sequences" is solved by multiplicative weights: each round prices the lengths by size and weight, a
+   knapsack dynamic program finds the dearest configurations, those that fill a sequence are taken, and the weights of lengths fall as
+   their demand is met. The times of the configurations are rounded down; the remainder is packed best-fit, longest first.
 3. The plan, a list of (configuration, times), says for the i-th piece of each length where it goes. Its size is bounded by the number
    of rounds and lengths, whatever the size of the corpus.
 
@@ -30,7 +30,8 @@ from .common import identified, materialize, session, texts_of
 
 CAPACITY = 1024
 END_TOKEN = 2
-ROUNDS = 400
+#: Rounds of the multiplicative weights at most, how far an open demand moves a price, and what a piece of full size costs more at the start.
+ROUNDS, RATE, PREMIUM = 200, 0.01, 0.02
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -64,69 +65,75 @@ def _tokenize(tokenizer: str, capacity: int, end_token: int) -> Callable:
     return run
 
 
-def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """The dearest multiset of lengths 1..capacity (prices[length]) that fits: how often each is taken, and its price."""
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room 0..capacity the dearest multiset of lengths (prices[length]) that fits: its price, and a length of it (0: none)."""
     best = np.zeros(capacity + 1)
     took = np.zeros(capacity + 1, np.int64)
     lengths = np.flatnonzero(prices > 0)
+    priced = prices[lengths]
+    ends = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        fits = lengths[: np.searchsorted(lengths, room, side="right")]
         best[room] = best[room - 1]
-        if len(fits):
-            worth = prices[fits] + best[room - fits]
+        if end := ends[room]:
+            worth = priced[:end] + best[room - lengths[:end]]
             k = int(worth.argmax())
             if worth[k] > best[room]:
-                best[room], took[room] = worth[k], fits[k]
-    used = np.zeros(capacity + 1, np.int64)
-    room = capacity
+                best[room], took[room] = worth[k], lengths[k]
+    return best, took
+
+
+def configuration(first: int, took: np.ndarray, capacity: int) -> dict[int, int]:
+    """The best configuration with a given length in it: how often each length is used."""
+    uses = {first: 1}
+    room = capacity - first
     while room > 0:
-        if took[room]:
-            used[took[room]] += 1
-            room -= took[room]
-        else:
-            room -= 1
-    return used, float(best[capacity])
+        length = int(took[room])
+        if length:
+            uses[length] = uses.get(length, 0) + 1
+        room -= length or 1
+    return uses
 
 
-def solve_program(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Fractional configurations (uses of each length, times) that cover counts[length], by multiplicative weights.
+def solve_program(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE, slack: int = 0, premium: float = PREMIUM) -> list[tuple[np.ndarray, float]]:
+    """Fractional solution of the configuration program, by multiplicative weights: [(uses of each length, times)].
 
-    Oracle of a round: the weighted demand is met at the least cost by one configuration, the knapsack optimum under prices
-    weight / count. A configuration that serves length l in uses[l] places covers uses[l] / counts[l] of its demand a time.
+    The weight of a length is exp(rate * open share of its demand): lengths that lag get dearer, those ahead cheaper. A round prices each
+    length at its size times its weight; one knapsack table gives, for every length, the dearest configuration with it. The lengths
+    that lag most have theirs taken, each time for a part of the open demand, so that no length is ever served beyond its count.
     """
+    size = np.arange(capacity + 1) / capacity
+    start = 1 + premium * size  # weights to begin with: long pieces are hardest to place
+    counts = counts.astype(float)
     need = np.flatnonzero(counts)
-    weights = np.zeros(capacity + 1)
-    weights[need] = counts[need] * (need / capacity)  # at the start a token costs the same everywhere
-    prices = np.zeros(capacity + 1)
-    covered = np.zeros(capacity + 1)
-    taken: dict[bytes, tuple[np.ndarray, float]] = {}
-    for _ in range(rounds):
-        prices[need] = weights[need] / counts[need]
-        uses, worth = knapsack(prices, capacity)
-        if not worth:
+    rest = counts.copy()
+    taken: dict[tuple, float] = {}
+    for turn in range(rounds):
+        share = np.divide(rest, counts, out=np.zeros_like(rest), where=counts > 0)
+        share[rest < 0.5] = 0
+        open_ = need[share[need] > 0]
+        if not len(open_):
             break
-        inside = np.flatnonzero(uses)
-        times = float((counts[inside] / uses[inside]).min())  # a step meets at most the whole demand of a length
-        key = uses.tobytes()
-        taken[key] = (uses, taken.get(key, (uses, 0.0))[1] + times)
-        covered[inside] += uses[inside] * times / counts[inside]
-        weights[inside] *= np.exp(-0.5 * uses[inside] * times / counts[inside])
-        weights /= weights.max()
-    short = covered[need].min() if len(need) else 1.0
-    if short <= 0:  # some length was never served: it has a configuration of its own
-        for length in need[covered[need] <= 0]:
-            uses = np.zeros(capacity + 1, np.int64)
-            uses[length] = capacity // length
-            taken[uses.tobytes()] = (uses, counts[length] / uses[length])
-    return [*taken.values()]
-
-
-def _average(found: list[tuple[np.ndarray, float]], counts: np.ndarray) -> list[tuple[np.ndarray, float]]:
-    """Scale the configurations so that no length is served more often than it occurs."""
-    served = sum(uses * times for uses, times in found)
-    need = np.flatnonzero(counts)
-    over = (served[need] / counts[need]).max()
-    return [(uses, times / over) for uses, times in found]
+        prices = np.where(share > 0, size * start * np.exp(rate * share), 0)
+        best, took = knapsack(prices, capacity)
+        worth = prices[open_] + best[capacity - open_]
+        order = open_[np.lexsort((-open_, -np.round(worth, 9)))]
+        for first in order[: max(8, len(order) // 8)].tolist():
+            uses = configuration(first, took, capacity)
+            times = min(rest[length] / n for length, n in uses.items())
+            if times < 0.5 or sum(length * n for length, n in uses.items()) < capacity - slack:
+                continue
+            times = times if times < 4 or turn > rounds // 2 else times / 2
+            for length, n in uses.items():
+                rest[length] -= n * times
+            key = tuple(sorted(uses.items()))
+            taken[key] = taken.get(key, 0.0) + times
+    found = []
+    for key, times in taken.items():
+        uses = np.zeros(capacity + 1, np.int64)
+        for length, n in key:
+            uses[length] = n
+        found.append((uses, times))
+    return found
 
 
 def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[np.ndarray, int]]:
@@ -151,53 +158,23 @@ def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[np.ndar
     return plan
 
 
-def exact_fill(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 4 * ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Integral steps of the same kind for the remainder: the fullest configuration of what is left, as often as it fits.
-
-    Prices are the lengths, with a premium that grows with scarcity of long pieces' partners; falls back to best fit.
-    """
-    left = counts.astype(np.int64).copy()
-    plan: list[tuple[np.ndarray, int]] = []
-    size = np.arange(capacity + 1, dtype=float)
-    for _ in range(rounds):
-        if not left.any():
-            return plan
-        prices = np.where(left > 0, size * (1 + 0.05 * size / capacity), 0)
-        longest = int(np.flatnonzero(left)[-1])
-        uses, _ = knapsack(prices[: capacity - longest + 1], capacity - longest) if longest < capacity else (np.zeros(1, np.int64), 0)
-        full = np.zeros(capacity + 1, np.int64)
-        full[: len(uses)] = np.minimum(uses, left[: len(uses)])
-        full[longest] += 1
-        if full[longest] > left[longest]:
-            full[longest] = left[longest]
-        inside = np.flatnonzero(full)
-        times = max(1, int((left[inside] // full[inside]).min()))
-        left -= full * times
-        plan.append((full, times))
-    return plan + best_fit(left, capacity)
-
-
 def pack_histogram(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Integral plan [(uses of each length, times)] that serves counts[length] exactly."""
     counts = counts.astype(np.int64)
     plan: list[tuple[np.ndarray, int]] = []
-    whole = np.zeros(capacity + 1, np.int64)
     if counts[capacity]:
+        whole = np.zeros(capacity + 1, np.int64)
         whole[capacity] = 1
         plan.append((whole, int(counts[capacity])))
-    rest = counts.copy()
-    rest[capacity] = 0
-    if not rest.any():
+    left = counts.copy()
+    left[capacity] = 0
+    if not left.any():
         return plan
-    candidates = [exact_fill(rest, capacity)]
-    for solution in (_average(solve_program(rest, capacity, rounds), rest),):
-        left, rounded = rest.copy(), []
-        for uses, times in solution:
-            if int(times):
-                rounded.append((uses, int(times)))
-                left = left - uses * int(times)
-        candidates.append(rounded + exact_fill(left, capacity))
-    return plan + min(candidates, key=lambda p: sum(times for _, times in p))
+    for uses, times in solve_program(left, capacity, rounds):
+        if int(times):
+            plan.append((uses, int(times)))
+            left = left - uses * int(times)
+    return plan + best_fit(left, capacity)
 
 
 def slots(plan: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
