@@ -3,9 +3,9 @@
 A task hashes every window of ``width`` words of its documents with a polynomial over the words' XXH64 values, modulo 2**64
 (prefix sums make a window a subtraction and a product). Within a block of documents equal windows meet first: all but those of
 the smallest doc_id are repeats whatever else the corpus holds, so a window in a third of all documents leaves each block
-once. The remaining distinct hashes are packed, eight to nine bytes a window, and dealt by hash range; the receiving task sorts them and
-tells, for each, whether a smaller doc_id has it. Covered starts come back per document, merge into maximal intervals, and the
-documents concerned are cut.
+once. The remaining distinct hashes are packed, eight bytes a window with its place, and dealt by hash range; the receiving task sorts them and
+tells, for each, whether a smaller doc_id has it. Covered starts go, packed too, to the task of their document, merge into maximal
+intervals, and the documents concerned are cut.
 
 Defined cases: null and empty texts have no words, n_removed 0 and the hash of the empty text; a null doc_id is neither smaller
 nor larger than any, so such rows are returned whole and cover nothing; rows that repeat a doc_id do not cover each other, each
@@ -71,53 +71,88 @@ class RollingHash:
         return found ^ (found >> np.uint64(32))
 
 
-def _runs(positions: np.ndarray) -> bytes:
-    """Sorted positions as (first, length) pairs of consecutive ones."""
-    cut = np.flatnonzero(np.diff(positions) != 1) + 1
-    first = positions[np.concatenate(([0], cut))]
-    size = np.diff(np.concatenate(([0], cut, [len(positions)])))
-    return np.stack((first, size), axis=1).astype(np.int32).tobytes()
+def encode_places(table: np.ndarray, size: np.ndarray, place: np.ndarray) -> bytes:
+    """Pack (doc_id, text_key) rows, how many places each has, and these places (ascending within a row): about a byte a place."""
+    starts = np.cumsum(size) - size
+    steps = np.diff(place, prepend=0)
+    inner = np.ones(len(place), bool)
+    inner[starts] = False
+    steps = steps[inner]
+    wide = steps[steps > 254]
+    head = np.array([len(size), len(place), len(wide)], np.int32)
+    return b"".join(x.tobytes() for x in (head, table.astype(np.int64), size.astype(np.int32), place[starts].astype(np.int32), np.minimum(steps, 255).astype(np.uint8), wide.astype(np.int32)))
 
 
-def _by_document(document: np.ndarray, position: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((position, document))
-    document, position = document[order], position[order]
-    starts = np.flatnonzero(np.concatenate(([True], document[1:] != document[:-1])))
-    for a, b in zip(starts, np.append(starts[1:], len(document)), strict=True):
-        yield int(document[a]), _runs(position[a:b])
+def decode_places(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(table, size, place, bytes read) of encode_places."""
+    documents, places, wides = np.frombuffer(blob, np.int32, 3).tolist()
+    at = 12
+    table = np.frombuffer(blob, np.int64, 2 * documents, at).reshape(-1, 2)
+    at += 16 * documents
+    size = np.frombuffer(blob, np.int32, documents, at)
+    first = np.frombuffer(blob, np.int32, documents, at + 4 * documents)
+    at += 8 * documents
+    small = np.frombuffer(blob, np.uint8, places - documents, at)
+    at += places - documents
+    steps = small.astype(np.int32)
+    steps[small == 255] = np.frombuffer(blob, np.int32, wides, at)
+    place = np.zeros(places, np.int32)
+    starts = np.cumsum(size) - size
+    inner = np.ones(places, bool)
+    inner[starts] = False
+    place[inner] = steps
+    total = np.cumsum(place)
+    return table, size, total - np.repeat(total[starts], size) + np.repeat(first, size), at + 4 * wides
+
 
+def _replies(table: np.ndarray, document: np.ndarray, place: np.ndarray, targets: int) -> Iterator[tuple[int, bytes]]:
+    """Covered starts, packed for the tasks that cut the documents: (-1 - task, message)."""
+    task = table[:, 1] % targets
+    order = np.lexsort((place, document, task[document]))
+    document, place = document[order], place[order]
+    of = task[document]
+    cuts = np.flatnonzero(np.diff(of, prepend=-1, append=targets))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = document[a:b]
+        fresh = np.flatnonzero(np.diff(part, prepend=-1))
+        yield -1 - int(of[a]), encode_places(table[part[fresh]], np.diff(np.append(fresh, b - a)), place[a:b])
 
-SCHEMA = "bucket int, doc_id long, text_key long, payload binary"
+
+MESSAGE = "bucket int, payload binary"
+
+
+def _messages(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
 
 def _block_messages(ids: list[int], keys: list[int], hashes: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Covered starts known inside the block (bucket < 0), and the packed distinct windows by bucket."""
-    rows: list[tuple[int, int, int, bytes]] = []
+    """Covered starts known inside the block (bucket < 0), and the packed distinct windows by bucket.
+
+    The bucket is the leading part of a hash; of the hash itself seven bytes are sent.
+    """
     count = np.fromiter(map(len, hashes), np.int64, len(hashes))
     every = np.concatenate(hashes)
     document = np.repeat(np.arange(len(ids)), count)
-    position = np.arange(len(every)) - np.repeat(np.cumsum(count) - count, count)
+    place = np.arange(len(every)) - np.repeat(np.cumsum(count) - count, count)
     owner = np.array(ids, np.int64)[document]
+    table = np.array([ids, keys], np.int64).T
     order = np.lexsort((owner, every))
-    every, document, position, owner = every[order], document[order], position[order], owner[order]
+    every, document, place, owner = every[order], document[order], place[order], owner[order]
     starts = np.concatenate(([True], every[1:] != every[:-1]))
     least = owner[np.flatnonzero(starts)][np.cumsum(starts) - 1]
     covered = owner > least
-    for at, spans in _by_document(document[covered], position[covered]) if covered.any() else ():
-        rows.append((-1 - (keys[at] % (1 << 20)), ids[at], keys[at], spans))
-    every, document, position, owner = (x[~covered] for x in (every, document, position, owner))
+    rows = [*_replies(table, document[covered], place[covered], buckets)] if covered.any() else []
+    every, document, place = (x[~covered] for x in (every, document, place))
     bucket = ((every >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    table = np.array([ids, keys], np.int64).T
-    for k in range(buckets):
-        if cuts[k] < cuts[k + 1]:
-            part = slice(cuts[k], cuts[k + 1])
-            by_place = np.lexsort((position[part], document[part]))
-            where, place = document[part][by_place], position[part][by_place]
-            used, size = np.unique(where, return_counts=True)
-            head = np.array([len(used), len(where)], np.int32).tobytes()
-            rows.append((k, None, None, head + table[used].tobytes() + size.astype(np.int32).tobytes() + place.astype(np.uint16 if place.max() < 1 << 16 else np.int32).tobytes() + every[part][by_place].tobytes()))
-    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "doc_id", "text_key", "payload"])
+    order = np.lexsort((place, document, bucket))
+    every, document, place, bucket = every[order], document[order], place[order], bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = document[a:b]
+        fresh = np.flatnonzero(np.diff(part, prepend=-1))
+        places = encode_places(table[part[fresh]], np.diff(np.append(fresh, b - a)), place[a:b])
+        rows.append((int(bucket[a]), places + every[a:b].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
+    return _messages(rows)
 
 
 def _hash_windows(width: int, buckets: int) -> Callable:
@@ -142,35 +177,35 @@ def _hash_windows(width: int, buckets: int) -> Callable:
     return run
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    documents, windows = np.frombuffer(blob, np.int32, 2)
-    at = 8
-    table = np.frombuffer(blob, np.int64, 2 * documents, at).reshape(-1, 2)
-    at += 16 * documents
-    size = np.frombuffer(blob, np.int32, documents, at)
-    at += 4 * documents
-    kind = np.uint16 if len(blob) - at == 10 * windows else np.int32
-    place = np.frombuffer(blob, kind, windows, at).astype(np.int32)
-    hashes = np.frombuffer(blob[at + place.size * np.dtype(kind).itemsize :], np.uint64)
-    return table, size, place, hashes
+def _find_repeats(targets: int) -> Callable:
+    """Count the windows of each hash range over all blocks; give back covered starts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = defaultdict(list)
+        for batch in batches:
+            bucket = batch["bucket"].to_numpy()
+            known = pa.array(bucket < 0)
+            if known.true_count:
+                yield batch.filter(known)
+            for k, blob in zip(bucket.tolist(), batch["payload"].to_pylist(), strict=True):
+                if k >= 0:
+                    held[k].append(blob)
+        for k in list(held):
+            rows = [*_repeats_of(held.pop(k), targets)]
+            if rows:
+                yield _messages(rows)
 
-def _find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Count the windows of this hash range over all blocks; give back covered starts by document."""
-    parts = []
-    for batch in batches:
-        bucket = batch["bucket"].to_numpy()
-        known = pa.array(bucket < 0)
-        if known.true_count:
-            yield pa.record_batch([batch[c].filter(known) for c in ("doc_id", "text_key", "payload")], ["doc_id", "text_key", "payload"])
-        parts += [_unpack(blob) for blob in batch["payload"].filter(pa.array(bucket >= 0)).to_pylist()]
-    if not parts:
-        return
+    return run
+
+
+def _repeats_of(blobs: list[bytes], targets: int) -> Iterator[tuple[int, bytes]]:
+    parts = [decode_places(blob) for blob in blobs]
     tables = np.concatenate([p[0] for p in parts])
     document = np.repeat(np.arange(len(tables), dtype=np.int32), np.concatenate([p[1] for p in parts]))
     place = np.concatenate([p[2] for p in parts])
-    hashes = np.concatenate([p[3] for p in parts])
-    parts.clear()
+    raw = np.zeros((len(place), 8), np.uint8)
+    raw[:, :7] = np.concatenate([np.frombuffer(blob, np.uint8, offset=p[3]).reshape(-1, 7) for blob, p in zip(blobs, parts, strict=True)])
+    hashes = raw.view(np.uint64).ravel()
     order = np.argsort(hashes, kind="stable")
     same = hashes[order[1:]] == hashes[order[:-1]]
     shared = np.zeros(len(order), bool)  # only hashes that more than one entry has go on
@@ -184,29 +219,56 @@ def _find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
     least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(owner))))
     covered = owner > least
-    found = [*_by_document(document[covered], place[covered])] if covered.any() else []
-    for at in range(0, len(found), 10_000):
-        some = found[at : at + 10_000]
-        yield pa.record_batch(
-            [pa.array(tables[[d for d, _ in some], i]) for i in (0, 1)] + [pa.array([s for _, s in some], pa.binary())], ["doc_id", "text_key", "payload"]
-        )
+    if covered.any():
+        yield from _replies(tables, document[covered], place[covered], targets)
+
+
+def _assemble(width: int) -> Callable:
+    """Gather the replies of each document: (doc_id, text_key, spans), spans the maximal removal intervals."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, places = [], []
+        for batch in batches:
+            for blob in batch["payload"].to_pylist():
+                table, size, place, _ = decode_places(blob)
+                tables.append(np.repeat(table, size, axis=0))
+                places.append(place)
+        if not tables:
+            return
+        table, place = np.concatenate(tables), np.concatenate(places)
+        tables.clear()
+        order = np.lexsort((place, table[:, 1], table[:, 0]))
+        table, place = table[order], place[order].astype(np.int64)
+        fresh = np.concatenate(([True], (table[1:] != table[:-1]).any(axis=1)))
+        gap = np.concatenate(([True], place[1:] > place[:-1] + width)) | fresh  # beyond the end of what is covered so far
+        first = np.flatnonzero(gap)
+        spans = np.stack((place[first], place[np.append(first[1:], len(place)) - 1] + width), axis=1).astype(np.int32)
+        of = np.cumsum(fresh)[first] - 1
+        heads = np.flatnonzero(fresh)
+        cuts = np.searchsorted(of, np.arange(len(heads) + 1))
+        for at in range(0, len(heads), 10_000):
+            some = range(at, min(at + 10_000, len(heads)))
+            rows = table[heads[some.start : some.stop]]
+            yield pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array([spans[cuts[d] : cuts[d + 1]].tobytes() for d in some], pa.binary())], ["doc_id", "text_key", "spans"])
+
+    return run
 
-def _cut(width: int, with_text: bool) -> Callable:
-    """(doc_id, text, payloads) to the digest columns; a document without payloads stays whole."""
+
+def _cut(with_text: bool) -> Callable:
+    """(doc_id, text, spans) to the digest columns; a document without spans stays whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = defaultdict(list)
-            for text, payloads in zip(bytes_of(batch["text"]), batch["payloads"].to_pylist(), strict=True):
+            for text, spans in zip(bytes_of(batch["text"]), batch["spans"].to_pylist(), strict=True):
                 words = text.split()
                 n = len(words)
                 kept = words
-                if payloads:
+                if spans:
                     change = np.zeros(n + 1, np.int32)
-                    for first, size in removal_spans(payloads, width):
+                    for first, end in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
                         change[first] += 1
-                        change[first + size] -= 1
+                        change[end] -= 1
                     stays = np.cumsum(change[:n]) == 0
                     kept = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
                 out["n_words"].append(n)
@@ -221,29 +283,15 @@ def _cut(width: int, with_text: bool) -> Callable:
     return run
 
 
-def removal_spans(payloads: list[bytes], width: int) -> Iterator[tuple[int, int]]:
-    """Maximal intervals (first word, words) covered by windows that start in the given runs."""
-    runs = np.concatenate([np.frombuffer(p, np.int32).reshape(-1, 2) for p in payloads])
-    runs = runs[np.argsort(runs[:, 0], kind="stable")]
-    first, end = runs[0, 0], runs[0].sum() + width - 1
-    for a, size in runs[1:].tolist():
-        if a > end:
-            yield int(first), int(end - first)
-            first, end = a, a + size + width - 1
-        else:
-            end = max(end, a + size + width - 1)
-    yield int(first), int(end - first)
-
-
-def covered_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, payloads) of the documents with repeated windows."""
+def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
+    """(doc_id, text_key, spans) of the documents with repeated windows."""
     spark = session(docs)
     base = identified(docs, id_col, text_col)
     letters = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 16, max(shuffle_partitions(spark), -(-letters // 6 // TASK_WINDOWS)))  # a word has about six bytes; more or fewer only change the size of tasks
-    sent = base.mapInArrow(_hash_windows(width, buckets), SCHEMA).repartition(buckets, "bucket")
-    found = sent.mapInArrow(_find_repeats, "doc_id long, text_key long, payload binary")
-    return found.groupBy("doc_id", "text_key").agg(F.collect_list("payload").alias("payloads"))
+    sent = base.mapInArrow(_hash_windows(width, buckets), MESSAGE).repartition(buckets, "bucket")
+    replies = sent.mapInArrow(_find_repeats(buckets), MESSAGE).repartition(buckets, "bucket")
+    return replies.mapInArrow(_assemble(width), "doc_id long, text_key long, spans binary")
 
 
 def _text_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +303,7 @@ def _text_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
     session(docs)
-    covered = covered_starts(docs, id_col, text_col, width).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "payloads")
+    covered = removal_intervals(docs, id_col, text_col, width).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "spans")
     rows = identified(docs, id_col, text_col).mapInArrow(_text_key, "doc_id long, text string, text_key long")
-    joined = rows.join(covered, (rows["doc_id"] == covered["__id"]) & (rows["text_key"] == covered["__key"]), "left").select("doc_id", "text", "payloads")
-    return joined.mapInArrow(_cut(width, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    joined = rows.join(covered, (rows["doc_id"] == covered["__id"]) & (rows["text_key"] == covered["__key"]), "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(_cut(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
