@@ -96,14 +96,20 @@ def inverted_index(posts: DataFrame, values: str, key: str) -> DataFrame:
     return listed.select(key, F.transform(newest, lambda e: F.struct(e["id"].alias("id"), e["title"].alias("title"), e["date"].alias("date"))).alias("posts"))
 
 
+def _by_key(key: str, value: str) -> Column:
+    """Map of a group's rows, keys ascending; values need not have an order."""
+    ascending = lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0)
+    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)), ascending))
+
+
 def nested_index(index: DataFrame, key: str, value: str = "posts") -> DataFrame:
     """An index as one row with one map, for a single index document."""
-    return index.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias("index"))
+    return index.agg(_by_key(key, value).alias("index"))
 
 
 def nested_timeline(months: DataFrame) -> DataFrame:
     """year -> month -> posts as one row."""
-    years = months.groupBy("year").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("month", "posts")))).alias("months"))
+    years = months.groupBy("year").agg(_by_key("month", "posts").alias("months"))
     return nested_index(years, "year", "months")
 
 
