@@ -27,7 +27,7 @@ BUCKETS = 1 << 16
 MAX_TARGET = 20_000
 PRIOR = 2.0
 #: Mean log-likelihood ratio below which a document goes.
-THRESHOLD = -0.35
+THRESHOLD = -0.25
 WINDOW = 5
 MIN_WORDS = 10
 
@@ -143,4 +143,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The input's rows and columns that are kept."""
     weights = bucket_weights(docs, labels, id_col, text_col, buckets, max_target)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("__in"))
-    return _judged(rows, weights, "__in", buckets, threshold).where("kept").select("__row.*")
+    judged = _judged(rows, weights, "__in", buckets, threshold)
+    # the row number keeps the filter above the rules: pushed below, it would repeat their arrays inside every lambda
+    return judged.withColumn("__no", F.monotonically_increasing_id()).where("kept AND __no >= 0").select("__row.*")
