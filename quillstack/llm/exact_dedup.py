@@ -149,10 +149,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return runs
 
 
-def _flag(rows: DataFrame, groups: DataFrame, row_id: str, digest: str, kept: str) -> DataFrame:
-    """Join the groups to rows by digest (a hot group is a skewed left join, which AQE splits) and mark what stays."""
+def _flag(rows: DataFrame, groups: DataFrame, row_id: str, digest: str, kept: str, same_plan: bool = False) -> DataFrame:
+    """Join the groups to rows by digest (a hot group is a skewed left join, which AQE splits) and mark what stays.
+
+    same_plan: merge join at every size, so that rows with texts move alike on small and on large inputs.
+    """
     groups = materialize(groups, "exact-groups").select(F.col("digest").alias("__d"), "keep_id", "group_size", "n_keep")
-    joined = rows.join(groups, rows[digest] == groups["__d"], "left")
+    joined = rows.join(groups.hint("merge") if same_plan else groups, rows[digest] == groups["__d"], "left")
     stays = F.col("group_size").isNull() | F.col(row_id).eqNullSafe(F.col("keep_id"))
     if not groups.where("n_keep > 1").isEmpty():  # repeated rows: number those that tie, spread the others
         tied = stays & (F.col("n_keep") > 1)
@@ -179,5 +182,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
     """The input's rows and columns without the duplicates."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), digest_of(F.col(text_col).cast("string")).alias("__digest"))
-    flagged = _flag(rows, exact_groups(docs, id_col, text_col, largest=largest), "__id", "__digest", "__kept")
+    flagged = _flag(rows, exact_groups(docs, id_col, text_col, largest=largest), "__id", "__digest", "__kept", same_plan=True)
     return flagged.where("__kept").select("__row.*")

@@ -181,4 +181,5 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The input's rows and columns, of each component only the rows with its smallest id (rows with a null id stay)."""
     others = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__other"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"))
-    return rows.join(others, F.col("__id") == F.col("__other"), "left_anti").select("__row.*")
+    # a merge join at every size: texts move alike on small and on large inputs
+    return rows.join(others.hint("merge"), F.col("__id") == F.col("__other"), "left_anti").select("__row.*")
