@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import PieceCache
+from .bpe import cache_of
 from .common import identified, materialize, session, texts_of
 
 CAPACITY = 1024
@@ -46,7 +46,7 @@ def cut_points(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _tokenize(tokenizer: str, capacity: int, end_token: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = PieceCache(tokenizer)
+        encode = cache_of(tokenizer)
         end = int(end_token).to_bytes(4, "little")
         context = TaskContext.get()
         part = context.partitionId() if context else 0
