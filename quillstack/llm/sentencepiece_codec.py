@@ -18,7 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -61,7 +61,7 @@ def _fields(blob: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Codec:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str, limit: int = 1 << 18):
+    def __init__(self, path: str, limit: int = 1 << 19):
         with open(path, "rb") as file:
             blob = file.read()
         self.pieces: list[str] = []
@@ -86,16 +86,21 @@ class Codec:
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] in (NORMAL, USER)}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
+        self.letters = frozenset(p for p in self.ids if len(p) == 1)
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.automaton.add_word(piece, (i, len(piece)))
+            if self.model == UNIGRAM or self._stands(i):  # the merges never end in the others
+                self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
+        self.together: dict[int, bool] = {}
         self.penalty = min(self.scores[i] for i in self.ids.values()) - 10
         whole = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.parts = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if whole else "(?s).+")
+        alone = "" if any("\n" in p for p in self.ids) else "\n"  # a line end that no piece holds parts the text as well
+        self.parts = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + f"|{alone}" * bool(alone) if whole else "(?s).+")
         self.cache: dict[str, bytes] = {}
         self.limit = limit
         self.apart = lru_cache(1 << 18)(self._apart)
+        self.history = lru_cache(1 << 16)(self._history)
 
     def normalized(self, text: str) -> str:
         if self.squeeze:
@@ -117,14 +122,49 @@ class Codec:
                 return [self.ids.get(s, -1) for s in symbols]
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def _apart(self, left: int, right: int) -> bool:
-        """Whether two pieces in a row are what the merges make of their text."""
-        a, b = (self.pieces[i] if isinstance(i, int) else i for i in (left, right))
-        return self._merged(a + b) == [left if isinstance(left, int) else -1, right if isinstance(right, int) else -1]
+    def _history(self, piece: int | str) -> tuple[list[float], list[str], list[str]]:
+        """Merges of a piece's own text: their scores in order, and its first and its last symbol before each and at the end."""
+        symbols = list(self.pieces[piece]) if isinstance(piece, int) else [piece]
+        scores, firsts, lasts = [], [symbols[0]], [symbols[-1]]
+        while True:
+            best, at = None, -1
+            for k in range(len(symbols) - 1):
+                i = self.ids.get(symbols[k] + symbols[k + 1])
+                if i is not None and (best is None or self.scores[i] > best):
+                    best, at = self.scores[i], k
+            if at < 0:
+                return scores, firsts, lasts
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            scores.append(best)
+            firsts.append(symbols[0])
+            lasts.append(symbols[-1])
+
+    def _apart(self, left: int | str, right: int | str) -> bool:
+        """Whether two pieces in a row are what the merges make of their text: the pieces' own merges, highest score first and leftmost among
+        equals, are replayed until one across the boundary comes first, or none is left."""
+        own, _, lasts = self.history(left)
+        other, firsts, _ = self.history(right)
+        i = j = 0
+        none = -np.inf
+        while True:
+            across = self.ids.get(lasts[i] + firsts[j])
+            b = self.scores[across] if across is not None else none
+            a = own[i] if i < len(own) else none
+            c = other[j] if j < len(other) else none
+            if a == b == c == none:
+                return True
+            if a >= b and a >= c:
+                i += 1
+            elif b >= c:
+                return False
+            else:
+                j += 1
 
     def _viterbi(self, text: str) -> list[int | str]:
         """The best path as ids, and characters that no piece covers."""
         n = len(text)
+        if self.model == BPE and self.letters.issuperset(text):
+            return self._merged_path(text)
         last: list[int | str | None] = [None] * (n + 1)  # the piece that ends here on the best path
         came = [0] * (n + 1)
         score = [0.0] + [-np.inf] * n
@@ -144,9 +184,8 @@ class Codec:
                 before = at - size
                 if before and (last[before] is None or not self.apart(last[before], i)):
                     continue
-                if self._stands(i):
-                    last[at], came[at] = i, before
-                    break
+                last[at], came[at] = i, before
+                break
             else:
                 if text[at - 1] not in self.ids and (at == 1 or last[at - 1] is not None):
                     last[at], came[at] = text[at - 1], at - 1
@@ -157,7 +196,34 @@ class Codec:
             at = came[at]
         return path[::-1]
 
-    @lru_cache(1 << 16)  # noqa: B019  a codec lives as long as its worker
+    def _merged_path(self, text: str) -> list[int]:
+        """The pass over a text whose characters are all pieces: matches come by position, longest first, and the first that fits is it."""
+        n = len(text)
+        last, came = [-1] * (n + 1), [0] * (n + 1)
+        together = self.together
+        if len(together) > 1 << 20:
+            together.clear()
+        for end, (i, size) in self.automaton.iter(text):
+            end += 1
+            if last[end] < 0:
+                before = end - size
+                if before:
+                    left = last[before]
+                    if left < 0:
+                        continue
+                    pair = left << 20 | i
+                    fits = together.get(pair)
+                    if fits is None:
+                        fits = together[pair] = self._apart(left, i)
+                    if not fits:
+                        continue
+                last[end], came[end] = i, before
+        path, at = [], n
+        while at:
+            path.append(last[at])
+            at = came[at]
+        return path[::-1]
+
     def _stands(self, i: int) -> bool:
         """Whether the merges of a piece's own text end in this piece."""
         return self._merged(self.pieces[i]) == [i]
@@ -203,12 +269,16 @@ class Codec:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+@cache
+def codec_of(path: str) -> Codec:
+    """A worker's codec, with what it remembers, over all of its tasks."""
+    return Codec(path)
+
+
 def _round_trip(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
-        words: dict[bytes, bytes] = {}
+        codec = codec_of(path)
         table = [codec.decode([i]).encode() if codec.kinds[i] not in (NORMAL, USER, BYTE) else bytes([int(p[3:5], 16)]) if codec.kinds[i] == BYTE else p.replace(MARK, " ").encode() for i, p in enumerate(codec.pieces)]
-        words.clear()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), texts_of(batch["text"]), strict=True):
