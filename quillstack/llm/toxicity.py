@@ -12,7 +12,7 @@ Training, on labelled documents only:
 2. Landmarks are drawn from the positive words (farthest first in the kernel, so that every family has one) and from frequent clean words.
    Nystroem features are K(L, L)^(-1/2) k(x, L); a linear SVM with squared hinge loss is fitted to them by Newton steps.
 3. The machine's decision function is a weighted sum of kernels with the landmarks, so it folds into one table of subsequences. Documents are
-   described by the two best margins of their words and by how many reach HIT; a logistic function of these, fitted to the documents' labels,
+   described by the three best margins of their words and by how many reach HIT; a logistic function of these, fitted to the documents' labels,
    gives the score.
 
 Each worker scores a distinct word once. The training sample is bounded by ``MAX_TOXIC`` and ``MAX_CLEAN`` documents.
@@ -38,15 +38,17 @@ from pyspark.sql import functions as F
 from .common import identified, session, texts_of
 
 #: Bounds of the training sample, documents.
-MAX_TOXIC, MAX_CLEAN = 2500, 4000
+MAX_TOXIC, MAX_CLEAN = 2000, 3000
 DECAY = 0.6
 #: Characters of a subsequence. One spans at most so many characters; longer words are scored in windows of LONGEST.
 ORDER, SPAN, LONGEST = 4, 9, 24
-LANDMARKS, CLEAN_LANDMARKS = 128, 64
+LANDMARKS, CLEAN_LANDMARKS, VARIED = 224, 96, 80
 #: Times that the clean words with the largest margins are added to the landmarks.
 HARDER = 3
 #: Slots of the hashed table of subsequences.
 CODES, SLOTS = 64, 1 << 20
+#: Clean words to learn from: the most frequent, and an even sample of the others.
+HEAD, TAIL = 5000, 14_000
 #: Margin from which a word counts as an insult in a document.
 HIT = 0.5
 CUT = 0.7
@@ -96,16 +98,13 @@ def by_length(words: list[str]) -> Iterator[tuple[int, list[int]]]:
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel of each word with each landmark."""
-    tables = np.zeros((len(landmarks), SLOTS), np.float32)
-    for n, rows in by_length(landmarks):
-        if n >= ORDER:
-            keys, weights, norms = features([landmarks[i] for i in rows], n)
-            for k, i in enumerate(rows):
-                np.add.at(tables[i], keys[k], weights / norms[k])
-    used = np.flatnonzero(tables.any(axis=0))
-    slot = np.zeros(SLOTS, np.int64)
+    known = [(i, keys[k], weights / norms[k]) for n, rows in by_length(landmarks) if n >= ORDER for keys, weights, norms in [features([landmarks[i] for i in rows], n)] for k, i in enumerate(rows)]
+    used = np.unique(np.concatenate([keys for _, keys, _ in known])) if known else np.empty(0, np.int64)
+    slot = np.zeros(SLOTS, np.int32)
     slot[used] = np.arange(1, len(used) + 1)
-    dense = np.concatenate((np.zeros((len(landmarks), 1), np.float32), tables[:, used]), axis=1).T  # (slots used, landmarks)
+    dense = np.zeros((len(used) + 1, len(landmarks)), np.float32)  # (slots used, landmarks)
+    for i, keys, mass in known:
+        np.add.at(dense[:, i], slot[keys], mass)
     out = np.zeros((len(words), len(landmarks)), np.float32)
     for n, rows in by_length(words):
         if n < ORDER:
@@ -186,22 +185,22 @@ class Machine:
                 new = list(words)
             self.cache.update(zip(new, self.margins(new), strict=True))
 
-    def describe(self, words: list[str]) -> tuple[float, float, float]:
-        """Of distinct words: best and next best margin, and log of one plus the number of those from HIT on."""
+    def describe(self, words: list[str]) -> tuple[float, float, float, float]:
+        """Of distinct words: the three best margins from HIT on, and log of one plus their number."""
         if not words:
-            return -1.0, -1.0, 0.0
+            return -1.0, -1.0, -1.0, 0.0
         margins = [*map(self.cache.__getitem__, set(words))]
         hits = sorted([m for m in margins if m >= HIT], reverse=True)
-        best = min(max(margins), 3.0)
-        return best, min(hits[1], 3.0) if len(hits) > 1 else -1.0, float(np.log1p(len(hits)))
+        best = [min(m, 2.5) for m in (*hits[:3], -1.0, -1.0, -1.0)[:3]]
+        return *best, float(np.log1p(len(hits)))
 
     def score(self, *described: float) -> float:
         *weights, bias = self.weights
         return float(1 / (1 + np.exp(-np.clip(sum(w * d for w, d in zip(weights, described, strict=True)) + bias, -30, 30))))
 
 
-def toxic_words(documents: list[tuple[list[str], int]]) -> tuple[list[str], Counter]:
-    """Words that toxic documents have and others lack, and the document counts of clean documents' words."""
+def toxic_words(documents: list[tuple[list[str], int]]) -> tuple[list[tuple[str, int]], Counter]:
+    """Words that toxic documents have and others lack, each with its toxic documents, and the document counts of clean documents' words."""
     toxic, clean = Counter(), Counter()
     for words, label in documents:
         (toxic if label else clean).update(set(words))
@@ -216,8 +215,8 @@ def toxic_words(documents: list[tuple[list[str], int]]) -> tuple[list[str], Coun
             if rate > max(0.8, share):
                 bound = of * (rate * np.log(rate / share) + ((1 - rate) * np.log((1 - rate) / (1 - share)) if rate < 1 else 0))
                 if bound > np.log(max(len(toxic), 1)) + np.log(2):
-                    found.append((bound, word))
-    return [w for _, w in sorted(found, reverse=True)], clean
+                    found.append((bound, word, n))
+    return [(w, n) for _, w, n in sorted(found, reverse=True)], clean
 
 
 def farthest_first(words: list[str], n: int) -> list[str]:
@@ -237,7 +236,7 @@ def farthest_first(words: list[str], n: int) -> list[str]:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 40) -> np.ndarray:
     """Squared-hinge linear SVM with a bias as the last weight: Newton steps on the active rows, each with a line search."""
-    x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+    x = np.concatenate((x, np.ones((len(x), 1), x.dtype)), axis=1)
     w = np.zeros(x.shape[1])
     w[-1] = -1
     ridge = np.ones(x.shape[1])
@@ -249,9 +248,15 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 40) ->
     margin = y * (x @ w)
     now = loss(margin, w)
     for _ in range(steps):
-        active = margin < 1
-        xa, ca = x[active], cost[active]
-        new = np.linalg.solve(np.diag(ridge) + 2 * (xa * ca[:, None]).T @ xa, 2 * xa.T @ (ca * y[active]))
+        active = np.flatnonzero(margin < 1)
+        square, linear = np.diag(ridge), np.zeros(len(w))
+        for at in range(0, len(active), 2000):  # in blocks, so that memory stays small
+            some = active[at : at + 2000]
+            xa = x[some].astype(float)
+            weighted = xa * cost[some, None]
+            square = square + 2 * weighted.T @ xa
+            linear += 2 * weighted.T @ y[some]
+        new = np.linalg.solve(square, linear)
         toward = y * (x @ new)
         size = 1.0
         while size > 1e-4 and (then := loss(margin + size * (toward - margin), w + size * (new - w))) >= now:
@@ -281,26 +286,29 @@ def train(samples: list[tuple[str, int]], rates: tuple[float, float] = (1.0, 1.0
     documents = [(words_in(t or ""), int(label)) for t, label in samples]
     positive, clean = toxic_words(documents)
     if not positive:
-        return Machine(np.zeros(SLOTS, np.float32), -1.0, (0.0, 0.0, 0.0, -30.0))
-    positive = [w[:LONGEST] for w in positive]
+        return Machine(np.zeros(SLOTS, np.float32), -1.0, (0.0, 0.0, 0.0, 0.0, -30.0))
+    support = dict(reversed([(w[:LONGEST], n) for w, n in positive]))
+    positive = list(dict.fromkeys(w[:LONGEST] for w, _ in positive))
     chosen = set(positive)
     negative = [w[:LONGEST] for w, _ in clean.most_common() if len(w) >= 2 and w not in chosen]
-    step = max(1, len(negative) // 14_000)
-    negative = negative[:6000] + negative[6000::step]
-    variants = [v for w in positive if len(w) >= 4 for v in gapped(w)]
+    step = max(1, (len(negative) - HEAD) // TAIL)
+    negative = negative[:HEAD] + negative[HEAD::step]
+    landmarks = farthest_first(positive, LANDMARKS)
+    variants = [v for w in landmarks[:VARIED] if len(w) >= 4 for v in gapped(w)]
     words = positive + variants + negative
     y = np.array([1.0] * (len(positive) + len(variants)) + [-1.0] * len(negative))
-    # a clean word counts by its documents, so that short frequent ones are not taken for the stems they begin
-    cost = np.concatenate((np.full(int((y > 0).sum()), 10.0), 2 * np.sqrt([min(400, 1 + clean[w]) for w in negative])))
-    landmarks = farthest_first(positive, LANDMARKS) + negative[: 2 * CLEAN_LANDMARKS : 2]
-    like = np.empty((len(words), 0))
+    # a clean word counts by its documents, so that short frequent ones are not taken for the stems they begin (and a rare one for those left out)
+    # and a toxic one by its own
+    cost = np.concatenate((3 * np.sqrt([min(400, support[w]) for w in positive]), np.full(len(variants), 1.5), 1.0 * np.sqrt([min(400, 1 + clean[w]) for w in negative]) * np.where(np.arange(len(negative)) < HEAD, 1, min(step, 12))))
+    landmarks = landmarks + negative[: 2 * CLEAN_LANDMARKS : 2]
+    like = np.empty((len(words), 0), np.float32)
     for again in range(HARDER + 1):  # the clean words that look most toxic become landmarks too
         like = np.concatenate((like, kernel(words, landmarks[like.shape[1] :])), axis=1)
         inside = kernel(landmarks, landmarks).astype(float)
         values, vectors = np.linalg.eigh((inside + inside.T) / 2)
         keep = values > 1e-4
         root = vectors[:, keep] / np.sqrt(values[keep])  # K(L, L)^(-1/2) up to a rotation
-        x = like @ root
+        x = like @ root.astype(np.float32)
         w = fit_svm(x, y, cost)
         beta, bias = root @ w[:-1], float(w[-1])
         if again < HARDER:
@@ -340,7 +348,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     count = {int(k): int(n) for k, n in usable.groupBy("__toxic").agg(F.count("*")).collect()}
     picks = [usable.where(F.col("__toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(most) for k, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     ids = F.broadcast(picks[0].union(picks[1]))  # at most MAX_TOXIC + MAX_CLEAN rows
-    rows = identified(docs, id_col, text_col).join(ids, F.col("doc_id") == F.col("__id")).select("doc_id", F.substring("text", 1, 20_000).alias("text"), "__toxic")
+    rows = identified(docs, id_col, text_col).join(ids, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__toxic")
     found = sorted(rows.collect(), key=lambda r: (r[0], r[1] or ""))
     sampled = Counter(r[2] for r in found)
     return [(r[1], r[2]) for r in found], tuple(count.get(k, 0) / max(1, sampled[k]) for k in (0, 1))
