@@ -13,7 +13,7 @@ These p-values, of all candidates of the corpus, go through a Benjamini-Hochberg
 of short tokens, in which the tests can tell little, asks for more than one of long ones. Frequencies, rates and p-value histograms are
 sums over all documents; what reaches the driver is a few hundred numbers whatever the size of the corpus.
 
-Defined cases: null text is empty; texts are scanned whole; rows that repeat a doc_id are scanned each; an empty table gives no
+Defined cases: null text is empty; texts are scanned whole and tokens of every length tested; rows that repeat a doc_id are scanned each; an empty table gives no
 rows; other columns are carried by ``redact`` and ignored by ``scan``.
 """
 
@@ -46,6 +46,8 @@ ENCODINGS = (
     ("base62", re.compile(r"[0-9A-Za-z]+"), 62),
     ("base64", re.compile(r"[0-9A-Za-z+/]+|[0-9A-Za-z_-]+"), 64),
 )
+#: Tokens of at most so many characters have their results cached; all lengths are tested.
+CACHED = 4096
 LEVEL = 0.001
 RATE = 0.01
 #: Length classes of the step-up, by their least length.
@@ -118,10 +120,15 @@ def battery(token: str) -> tuple[str, str, float, int] | None:
     return name, alphabet, chi, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
 
 
+def tested(token: str) -> tuple[str, str, float, int] | None:
+    """The battery of a token of any length; long ones are not kept in the cache."""
+    return (battery if len(token) <= CACHED else battery.__wrapped__)(token)
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, tuple[str, str, float, int]]]:
     """(start, end, battery) of tokens that pass the battery and that no base span touches."""
     for m in CANDIDATE.finditer(text):
-        found = battery(m[0]) if m.end() - m.start() <= 4096 else None
+        found = tested(m[0])
         if found and not any(a < m.end() and m.start() < b for a, b, _ in base):
             yield *m.span(), found
 

@@ -87,3 +87,11 @@ def test_step_up_is_benjamini_hochberg():
     least = step_up({(0, 80): 10, (0, 0): 90}, 0.01)
     assert 1 <= least[0] <= 80
     assert step_up({(0, 8): 5, (0, 0): 95}, 0.01)[0] > 8
+
+
+def test_long_tokens_are_tested(spark):
+    rows, _ = corpus()
+    long_ = key(900, 10_000, string.ascii_letters + string.digits + "+/")
+    docs = frame(spark, [*rows, (900, f"before {long_} after")])
+    assert [r.spans for r in scan(docs).collect() if r.doc_id == 900] == ["random:7:10007"]
+    assert [r.text for r in redact(docs).collect() if r.doc_id == 900] == ["before <SECRET> after"]
