@@ -1,7 +1,8 @@
 """Secrets by patterns and by a randomness test battery.
 
 Base kinds are patterns: assignments to password-like names, access keys, long hexadecimal runs. The battery looks at every
-other long token of credential alphabets: it infers the smallest encoding the token fits (hex, base32, base36, base62, base64) and asks
+other long token of credential alphabets: it infers the smallest encoding the token fits (hex, base32, base36, base62, base64; a run that
+mixes +/ with _- fits none and is taken apart at them) and asks
 
 * chi-squared uniformity over that alphabet, the runs test about the alphabet's median, and lag-one serial correlation: each
   must fail to reject a uniform random string (at ``LEVEL``);
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -39,6 +41,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: A candidate of the battery; padding is not part of the test.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+MIXED = (re.compile("[+/]"), re.compile("[_-]"))
+#: Parts of a run that mixes +/ with _- and so fits no encoding.
+PARTS = (re.compile(r"[A-Za-z0-9_-]{20,}"), re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9]{20,}"))
 ENCODINGS = (
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16),
     ("base32", re.compile(r"[A-Z2-7]+"), 32),
@@ -125,12 +130,26 @@ def tested(token: str) -> tuple[str, str, float, int] | None:
     return (battery if len(token) <= CACHED else battery.__wrapped__)(token)
 
 
+def tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """What is tested of a run: the run, or, if it fits no encoding, its parts that pass, the longest of those that overlap."""
+    if not (MIXED[0].search(text, start, end) and MIXED[1].search(text, start, end)):
+        return [(start, end)]
+    found = {m.span() for part in PARTS for m in part.finditer(text, start, end) if tested(m[0])}
+    passed: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda s: (s[0] - s[1], s)):
+        at = bisect_left(passed, (b,))
+        if not at or passed[at - 1][1] <= a:
+            passed.insert(at, (a, b))
+    return passed
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, tuple[str, str, float, int]]]:
     """(start, end, battery) of tokens that pass the battery and that no base span touches."""
     for m in CANDIDATE.finditer(text):
-        found = tested(m[0])
-        if found and not any(a < m.end() and m.start() < b for a, b, _ in base):
-            yield *m.span(), found
+        for start, end in tokens(text, *m.span()):
+            found = tested(text[start:end])
+            if found and not any(a < end and start < b for a, b, _ in base):
+                yield start, end, found
 
 
 CLASS_OF = np.zeros(256, np.int8)

@@ -8,7 +8,7 @@ import string
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillstack.llm.secret_scan import Ordinary, base_spans, battery, redact, redacted, scan, step_up
+from quillstack.llm.secret_scan import Ordinary, base_spans, battery, candidates, redact, redacted, scan, step_up
 
 from .helpers import awkward, frame, prose
 
@@ -95,3 +95,12 @@ def test_long_tokens_are_tested(spark):
     docs = frame(spark, [*rows, (900, f"before {long_} after")])
     assert [r.spans for r in scan(docs).collect() if r.doc_id == 900] == ["random:7:10007"]
     assert [r.text for r in redact(docs).collect() if r.doc_id == 900] == ["before <SECRET> after"]
+
+
+def test_runs_of_no_encoding_are_split():
+    plain_key, url_safe, padded = (key(901, 40, string.ascii_letters + string.digits + more) for more in ("", "_-", "+/"))
+    for before, token in (("/my-app/", plain_key), ("/my-app/v1/", url_safe), ("my_app-", padded)):
+        text = f"at {before}{token} and on"
+        found = [text[a:b] for a, b, _ in candidates(text, [])]
+        assert len(found) == 1 and token in found[0], found
+    assert not [*candidates("see /an-ordinary/path_of_words/to-some/other_place", [])]
