@@ -9,8 +9,9 @@ The labelled pages are made by ``labelled_pages``: page layouts of many kinds (a
 threads, side bars, notices, forms), whose blocks are labelled as they are written. Every process makes the same pages from one seed.
 
 Defined cases: null and empty html give an empty text; pages without markup are one block; unclosed and stray tags are closed the way
-browsers do for paragraphs, list items and table cells; scripts, styles, templates, form controls and the head are never text; rows that
-repeat a page_id are extracted each; an empty table gives no rows; other columns are ignored.
+browsers do for paragraphs, list items and table cells; scripts, noscript, styles, templates, form controls, svg, iframes and the
+head are never text, and a head left open ends at the first tag or text that can't stand in it; formulas are part of their sentence, and
+fallback text of objects, canvas, audio and video is a block that the chain labels; rows that repeat a page_id are extracted each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import session, texts_of
 
-SKIPPED = frozenset("script style noscript template head title svg math iframe object select textarea button datalist canvas audio video".split())
+SKIPPED = frozenset("script style noscript template head title svg iframe select textarea button datalist".split())
+#: What can stand in a head; any other tag, or text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Their fallback text is a block of its own.
+FALLBACK = frozenset("object audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -66,14 +71,16 @@ class BlockParser(HTMLParser):
         self.blocks: list[Block] = []
         self.stack: list[tuple[str, tuple[str, ...]]] = []
         self.text: list[str] = []
-        self.linked = self.skip = self.links = 0
+        self.linked = self.skip = self.links = self.fallbacks = 0
+        self.inside = False
 
-    def flush(self) -> None:
+    def flush(self, depth: int | None = None) -> None:
+        """End a block, of the first depth open tags if given."""
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                tags = tuple(t for t, _ in self.stack)
-                names = tuple(dict.fromkeys(n for _, some in self.stack for n in some))
+                tags = tuple(t for t, _ in self.stack[:depth])
+                names = tuple(dict.fromkeys(n for _, some in self.stack[:depth] for n in some))
                 self.blocks.append(Block(text, tags, names, self.linked))
             self.text.clear()
             self.linked = 0
@@ -82,7 +89,13 @@ class BlockParser(HTMLParser):
         for tag, _ in self.stack[at:]:
             self.skip -= tag in SKIPPED
             self.links -= tag == "a"
+            self.fallbacks -= tag in FALLBACK
         del self.stack[at:]
+        self.inside &= self.fallbacks > 0
+
+    def end_head(self) -> None:
+        while self.stack and self.stack[-1][0] == "head":
+            self.pop(len(self.stack) - 1)
 
     def implied(self, ends: tuple[str, ...], scope: tuple[str, ...]) -> None:
         for at in range(len(self.stack) - 1, -1, -1):
@@ -98,13 +111,15 @@ class BlockParser(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag == "br" or tag == "wbr":
             self.text.append(" " if tag == "br" else "")
             return
         if tag in BLOCKS:
             self.flush()
         if tag in CLOSES_P:
-            self.implied(("p",), ("button", "table", "td", "th", "body"))
+            self.implied(("p",), ("button", "object", "table", "td", "th", "body"))
         if tag in IMPLIED:
             self.implied(*IMPLIED[tag])
         if tag == "body":  # whatever the head left open ends here
@@ -115,6 +130,7 @@ class BlockParser(HTMLParser):
         self.stack.append((tag, names))
         self.skip += tag in SKIPPED
         self.links += tag == "a"
+        self.fallbacks += tag in FALLBACK
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)  # the slash has no meaning in HTML
@@ -124,7 +140,7 @@ class BlockParser(HTMLParser):
             return
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
-                if tag in BLOCKS or any(t in BLOCKS for t, _ in self.stack[at:]):
+                if tag in BLOCKS or any(t in BLOCKS or self.inside and t in FALLBACK for t, _ in self.stack[at:]):
                     self.flush()
                 self.pop(at)
                 return
@@ -132,7 +148,12 @@ class BlockParser(HTMLParser):
             self.flush()
 
     def handle_data(self, data: str) -> None:
+        if self.skip and self.stack[-1][0] == "head" and data.strip():
+            self.end_head()
         if not self.skip:
+            if self.fallbacks and not self.inside and data.strip():
+                self.flush(next(at for at, (tag, _) in enumerate(self.stack) if tag in FALLBACK))
+                self.inside = True
             self.text.append(data)
             if self.links:
                 self.linked += len(data)

@@ -68,3 +68,22 @@ def test_pages(spark):
     got = extract_text(pages).collect()
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == sorted([("1", WANT, len(WANT)), ("1", WANT, len(WANT)), ("2", "", 0), ("None", "", 0)])
     assert extract_text(pages.where("false")).count() == 0
+
+
+def texts(html):
+    return [b.text for b in blocks_of(html)]
+
+
+def test_open_head_ends_where_the_article_begins():
+    assert texts("<html><head><title>T</title><article><p>One<p>Two</article>") == ["One", "Two"]
+    assert texts("<head><meta x><style>p{}</style><script>'<p>'</script>text<p>more") == ["text", "more"]
+    assert texts("<head><title>T</title><noscript><p>n</p></noscript></head><body>b") == ["b"]
+    assert main_text(f"<html><head><title>T</title><article>{ARTICLE}</article>", trained()) == WANT
+
+
+def test_formulas_and_fallback_text_are_kept():
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p>") == ["Let x=2 here."]
+    assert texts("<p>Before <object data=f>a <b>chart</b><p>of sales</object> after.</p>") == ["Before", "a chart", "of sales", "after."]
+    assert texts("<p>One <canvas> </canvas><video><source src=x></video>two.</p><audio>No sound.</audio>") == ["One two.", "No sound."]
+    page = ARTICLE.replace("some words", "<math><mi>a</mi><mo>+</mo><mi>b</mi></math>")
+    assert main_text(f"<body><article>{page}</article></body>", trained()) == WANT.replace("some words", "a+b")
