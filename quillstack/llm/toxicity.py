@@ -6,14 +6,16 @@ keeps most of its subsequences, a little longer; letters written apart are joine
 
 Training, on labelled documents only:
 
-1. Sentences of toxic documents that hold words which toxic documents have and others lack (a one-sided binomial test) are the labelled
-   toxic sentences, with these words as positive examples; the words of all sentences of clean documents are negative ones. Positive words
-   are also shown gapped and with inserted characters.
+1. Words which toxic documents have and others lack (a one-sided binomial test) are positive examples; the words of clean documents are
+   negative ones. Positive words are also shown gapped and with inserted characters.
 2. Landmarks are drawn from the positive words (farthest first in the kernel, so that every family has one) and from frequent clean words.
    Nystroem features are K(L, L)^(-1/2) k(x, L); a linear SVM with squared hinge loss is fitted to them by Newton steps.
-3. The machine's decision function is a weighted sum of kernels with the landmarks, so it folds into one table of subsequences. Documents are
-   described by the three best margins of their words and by how many reach HIT; a logistic function of these, fitted to the documents' labels,
-   gives the score.
+3. A second machine of the same kind learns windows: two to four neighbouring words of a sentence, written together, under the kernel with
+   narrower gaps. Positive ones are the toxic words (which may be split by spaces) and the windows that toxic documents have and others lack;
+   negative ones are windows of clean documents. Phrases of ordinary words are found by it.
+4. A machine's decision function is a weighted sum of kernels with the landmarks, so it folds into one table of subsequences. Documents are
+   described by the three best margins of their words and windows (those that hold no toxic word and do not overlap) and by how many reach
+   HIT; a logistic function of these, fitted to the documents' labels, gives the score.
 
 Each worker scores a distinct word once. The training sample is bounded by ``MAX_TOXIC`` and ``MAX_CLEAN`` documents.
 
@@ -28,7 +30,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +44,14 @@ MAX_TOXIC, MAX_CLEAN = 2000, 3000
 DECAY = 0.6
 #: Characters of a subsequence. One spans at most so many characters; longer words are scored in windows of LONGEST.
 ORDER, SPAN, LONGEST = 4, 9, 24
+#: Windows are so many neighbouring words of a sentence, written together; a subsequence of theirs spans at most so many characters.
+WINDOWS, NARROW = (2, 3, 4), 5
 LANDMARKS, CLEAN_LANDMARKS, VARIED = 224, 96, 80
 #: Times that the clean words with the largest margins are added to the landmarks.
 HARDER = 3
 #: Slots of the hashed table of subsequences.
 CODES, SLOTS = 64, 1 << 20
+STEP = 0x9E3779B97F4A7C15
 #: Clean words to learn from: the most frequent, and an even sample of the others.
 HEAD, TAIL = 5000, 14_000
 #: Margin from which a word counts as an insult in a document.
@@ -54,7 +59,6 @@ HIT = 0.5
 CUT = 0.7
 WORD = re.compile(r"[^\s.,;:!?\"()\[\]{}|]+(?:[.,;:!?|]+[^\s.,;:!?\"()\[\]{}|]+)*")
 INNER = re.compile(r"[\W_]+")
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 
 
 def code(character: str) -> int:
@@ -63,22 +67,24 @@ def code(character: str) -> int:
     return place + 2 if 0 <= place < 26 else 28 + ord(character) % 35
 
 
-@lru_cache(64)
-def subsequences(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(256)
+def subsequences(n: int, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of the subsequences of a word of n characters."""
-    found = [(i, *rest) for i in range(n) for rest in combinations(range(i + 1, min(n, i + SPAN)), ORDER - 1)]
+    found = [(i, *rest) for i in range(n) for rest in combinations(range(i + 1, min(n, i + span)), ORDER - 1)]
     places = np.array(found, np.int64).reshape(-1, ORDER)
     return places, DECAY ** (places[:, -1] - places[:, 0] + 1 - ORDER).astype(float)
 
 
-def features(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(words: list[str], n: int, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slots of the subsequences, weights, norms) of words of equal length, n characters with the mark before the first."""
-    places, weights = subsequences(n)
+    places, weights = subsequences(n, span)
     codes = np.array([[1, *map(code, w)] for w in words], np.int64).reshape(-1, n)
     keys = codes[:, places[:, 0]]
     for k in range(1, ORDER):
         keys = keys * CODES + codes[:, places[:, k]]
     keys = (keys * 0x9E3779B1 >> 9) & SLOTS - 1
+    if span == NARROW:
+        return keys, weights, np.full(len(words), np.sqrt((weights**2).sum()))
     order = np.argsort(keys, axis=1)
     ranked, mass = np.take_along_axis(keys, order, 1), weights[order]
     total = np.cumsum(mass, axis=1)
@@ -96,9 +102,9 @@ def by_length(words: list[str]) -> Iterator[tuple[int, list[int]]]:
     yield from groups.items()
 
 
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
+def kernel(words: list[str], landmarks: list[str], span: int = SPAN) -> np.ndarray:
     """Normalised kernel of each word with each landmark."""
-    known = [(i, keys[k], weights / norms[k]) for n, rows in by_length(landmarks) if n >= ORDER for keys, weights, norms in [features([landmarks[i] for i in rows], n)] for k, i in enumerate(rows)]
+    known = [(i, keys[k], weights / norms[k]) for n, rows in by_length(landmarks) if n >= ORDER for keys, weights, norms in [features([landmarks[i] for i in rows], n, span)] for k, i in enumerate(rows)]
     used = np.unique(np.concatenate([keys for _, keys, _ in known])) if known else np.empty(0, np.int64)
     slot = np.zeros(SLOTS, np.int32)
     slot[used] = np.arange(1, len(used) + 1)
@@ -111,7 +117,7 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
             continue
         for at in range(0, len(rows), 500):
             some = rows[at : at + 500]
-            keys, weights, norms = features([words[i] for i in some], n)
+            keys, weights, norms = features([words[i] for i in some], n, span)
             found = slot[keys]
             sums = np.zeros((len(some), len(landmarks)), np.float32)
             for column in np.flatnonzero(found.any(axis=0)):
@@ -134,6 +140,75 @@ def words_in(text: str) -> list[str]:
     return words
 
 
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """Of each character below 65536: 0 inside words but no letter, 1 letter or digit, 2 between words, 3 end mark, 4 space, 5 new line."""
+    return np.array([5 if c == "\n" else 4 if c.isspace() else 3 if c in ".!?" else 2 if c in ",;:\"()[]{}|" else int(c.isalnum()) for c in map(chr, range(1 << 16))], np.int8)
+
+
+class Stream:
+    """Letters of some texts without what is between them, and the windows over neighbouring words of their sentences."""
+
+    def __init__(self, texts: list[str]):
+        lowered = [t.lower() for t in texts]
+        raw = np.frombuffer("".join(t + "\n" for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = np.append(kinds()[np.minimum(raw, 0xFFFF)], np.int8(5))
+        kind[:-1][raw > 0xFFFF] = 1
+        kind[:-1][(raw >= 0x1F000) & (raw < 0x1FB00)] = 0  # emoji
+        end = (kind[:-1] == 5) | (kind[:-1] == 3) & (kind[1:] >= 4)
+        kind = kind[:-1]
+        at = np.flatnonzero(kind == 1)
+        word = np.cumsum(kind >= 2, dtype=np.int32)[at]
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        self.letters = raw[at]
+        self.text = self.letters.tobytes().decode("utf-32-le", "surrogatepass")
+        self.bounds = np.append(first, len(at))
+        sentence = np.cumsum(end, dtype=np.int32)[at[first]]
+        doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])[at[first]]
+        parts = []
+        for k in WINDOWS:
+            some = np.flatnonzero(sentence[k - 1 :] == sentence[: len(sentence) - k + 1]) if len(sentence) >= k else np.empty(0, np.int64)
+            parts.append((some, np.full(len(some), k)))
+        self.word, self.size = (np.concatenate(p) for p in zip(*parts, strict=True))
+        self.start, self.end = self.bounds[self.word], self.bounds[self.word + self.size]
+        long_ = self.end - self.start >= ORDER
+        self.word, self.size, self.start, self.end = self.word[long_], self.size[long_], self.start[long_], self.end[long_]
+        self.doc = doc[self.word]
+
+    def string(self, k: int) -> str:
+        return self.text[self.start[k] : self.end[k]]
+
+    def words(self, k: int) -> list[str]:
+        bounds = self.bounds[self.word[k] : self.word[k] + self.size[k] + 1].tolist()
+        return [self.text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def hashes(self) -> np.ndarray:
+        """64 bits of each window's letters."""
+        n = len(self.letters)
+        power, back = (np.cumprod(np.append(np.uint64(1), np.full(n, p, np.uint64)), dtype=np.uint64) for p in (STEP, pow(STEP, -1, 1 << 64)))
+        total = np.append(np.uint64(0), np.cumsum((self.letters.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64))
+        found = (total[self.end] - total[self.start]) * back[self.start]
+        return found ^ found >> np.uint64(29)
+
+    def margins(self, table: np.ndarray, bias: float) -> np.ndarray:
+        """Decision function of each window, as ``features`` with NARROW has it."""
+        place = self.letters.astype(np.int64) - 97
+        codes = np.append(np.where((place >= 0) & (place < 26), place + 2, 28 + self.letters % 35), np.zeros(ORDER, np.int64))
+        n = len(self.letters)
+        c = [codes[k : n + k] for k in range(ORDER + 1)]
+
+        def values(a, b, c, d) -> np.ndarray:
+            return table[(((a * CODES + b) * CODES + c) * CODES + d) * 0x9E3779B1 >> 9 & SLOTS - 1]
+
+        near = np.append(0, np.cumsum(values(*c[:4]), dtype=float))
+        far = np.append(0, np.cumsum(values(c[0], c[1], c[2], c[4]) + values(c[0], c[1], c[3], c[4]) + values(c[0], c[2], c[3], c[4]), dtype=float))
+        f = [x[self.bounds[:-1]] for x in c]
+        marked = values(1, *f[:3]) + DECAY * (values(1, f[0], f[1], f[3]) + values(1, f[0], f[2], f[3]) + values(1, f[1], f[2], f[3]))
+        size = self.end - self.start
+        sums = marked[self.word] + near[self.end - 3] - near[self.start] + DECAY * (far[self.end - 4] - far[self.start])
+        return bias + sums / np.sqrt(size - 2 + 3 * (size - 3) * DECAY**2)
+
+
 def views(word: str) -> list[str]:
     """What is scored for a word: itself, without inner punctuation too, in overlapping windows if it is long."""
     inner = INNER.sub("", word)
@@ -150,18 +225,18 @@ def gapped(word: str) -> list[str]:
 class Machine:
     """The fitted decision function and the document's logistic function."""
 
-    def __init__(self, table: np.ndarray, bias: float, weights: tuple[float, ...]):
-        self.table, self.bias, self.weights = table, bias, weights
+    def __init__(self, table: np.ndarray, bias: float, weights: tuple[float, ...], windows: tuple[np.ndarray, float] | None = None):
+        self.table, self.bias, self.weights, self.windows = table, bias, weights, windows
         self.cache: dict[str, float] = {}
 
     def __getstate__(self):
         used = np.flatnonzero(self.table)
-        return {"used": used.astype(np.int32), "values": self.table[used], "bias": self.bias, "weights": self.weights}
+        return {"used": used.astype(np.int32), "values": self.table[used], "bias": self.bias, "weights": self.weights, "windows": self.windows}
 
     def __setstate__(self, state):
         table = np.zeros(SLOTS, np.float32)
         table[state["used"]] = state["values"]
-        self.__init__(table, state["bias"], state["weights"])
+        self.__init__(table, state["bias"], state["weights"], state["windows"])
 
     def margins(self, words: list[str]) -> list[float]:
         """Margins of distinct words: the best of their views."""
@@ -185,11 +260,30 @@ class Machine:
                 new = list(words)
             self.cache.update(zip(new, self.margins(new), strict=True))
 
-    def describe(self, words: list[str]) -> tuple[float, float, float, float]:
-        """Of distinct words: the three best margins from HIT on, and log of one plus their number."""
+    def window_hits(self, texts: list[str]) -> list[list[float]]:
+        """Of each text: the margins from HIT on of windows that do not overlap and hold no word that is a hit itself, each string once."""
+        out: list[list[float]] = [[] for _ in texts]
+        if self.windows is None:
+            return out
+        stream = Stream(texts)
+        margins = stream.margins(*self.windows)
+        found = np.flatnonzero(margins >= HIT)
+        self.learn({w for k in found for w in stream.words(k)})
+        taken, seen = set(), set()
+        for k in found[np.argsort(-margins[found], kind="stable")]:
+            places = range(stream.word[k], stream.word[k] + stream.size[k])
+            if taken.isdisjoint(places) and all(self.cache[w] < HIT for w in stream.words(k)):
+                taken.update(places)
+                if (once := (stream.doc[k], stream.string(k))) not in seen:
+                    seen.add(once)
+                    out[stream.doc[k]].append(float(margins[k]))
+        return out
+
+    def describe(self, words: list[str], more: list[float]) -> tuple[float, float, float, float]:
+        """Of distinct words, and of margins of windows: the three best margins from HIT on, and log of one plus their number."""
         if not words:
             return -1.0, -1.0, -1.0, 0.0
-        margins = [*map(self.cache.__getitem__, set(words))]
+        margins = [*map(self.cache.__getitem__, set(words)), *more]
         hits = sorted([m for m in margins if m >= HIT], reverse=True)
         best = [min(m, 2.5) for m in (*hits[:3], -1.0, -1.0, -1.0)[:3]]
         return *best, float(np.log1p(len(hits)))
@@ -219,12 +313,12 @@ def toxic_words(documents: list[tuple[list[str], int]]) -> tuple[list[tuple[str,
     return [(w, n) for _, w, n in sorted(found, reverse=True)], clean
 
 
-def farthest_first(words: list[str], n: int) -> list[str]:
+def farthest_first(words: list[str], n: int, span: int = SPAN) -> list[str]:
     """Landmarks that cover the words: each next one is the word least like those chosen."""
     words = words[:1500]
     if len(words) <= n:
         return words
-    near = kernel(words, words)
+    near = kernel(words, words, span)
     chosen = [0]
     like = near[:, 0].copy()
     while len(chosen) < n:
@@ -300,11 +394,99 @@ def train(samples: list[tuple[str, int]], rates: tuple[float, float] = (1.0, 1.0
     # a clean word counts by its documents, so that short frequent ones are not taken for the stems they begin (and a rare one for those left out)
     # and a toxic one by its own
     cost = np.concatenate((3 * np.sqrt([min(400, support[w]) for w in positive]), np.full(len(variants), 1.5), 1.0 * np.sqrt([min(400, 1 + clean[w]) for w in negative]) * np.where(np.arange(len(negative)) < HEAD, 1, min(step, 12))))
+    table, bias = fit_table(words, y, cost, landmarks, negative)
+    machine = Machine(table, bias, ())
+    machine.windows = train_windows(samples, positive, machine)
+    described = []
+    for at in range(0, len(samples), 64):
+        some = [words for words, _ in documents[at : at + 64]]
+        more = machine.window_hits([t or "" for t, _ in samples[at : at + 64]])
+        machine.learn({w for words in some for w in words})
+        described += [machine.describe(words, hits) for words, hits in zip(some, more, strict=True)]
+    described = np.array(described)
+    labels = np.array([label for _, label in documents], float)
+    weight = np.where(labels > 0, rates[1], rates[0])
+    use = np.ones(described.shape[1], bool)
+    while True:  # more or stronger insults never lower a score
+        fitted = fit_logistic(described * use, labels, weight)
+        if (fitted[:-1] >= 0).all() or not use.any():
+            break
+        use &= fitted[:-1] >= 0
+    machine.weights = tuple((fitted * np.append(use, True)).tolist())
+    return machine
+
+
+def toxic_windows(samples: list[tuple[str, int]], machine: Machine) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+    """Windows that toxic documents have and others lack and that hold no toxic word; frequent and other windows of clean documents; each with its documents."""
+    counts = []
+    texts = [[t or "" for t, label in samples if label == k] for k in (0, 1)]
+    for some in texts:
+        found = []
+        for at in range(0, len(some), 64):
+            stream = Stream(some[at : at + 64])
+            hashes = stream.hashes()
+            once = np.unique(hashes + stream.doc.astype(np.uint64) * np.uint64(STEP), return_index=True)[1]
+            found.append(hashes[once])
+        counts.append(np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    (clean, n_clean), (toxic, n_toxic) = counts
+    share = max(len(texts[1]) / max(len(samples), 1), 1e-6)
+    at = np.minimum(np.searchsorted(clean, toxic), max(len(clean) - 1, 0))
+    of = n_toxic + (np.where(clean[at] == toxic, n_clean[at], 0) if len(clean) else 0)
+    rate = n_toxic / of
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bound = of * (rate * np.log(rate / share) + np.where(rate < 1, (1 - rate) * np.log((1 - rate) / (1 - share)), 0))
+    good = (n_toxic >= 2) & (rate > max(0.8, share)) & (bound > np.log(max(len(toxic), 1)) + np.log(2))
+    by_count = np.argsort(-n_clean, kind="stable")
+    step = max(1, (len(by_count) - HEAD) // TAIL)
+    picked = np.sort(np.concatenate((by_count[:HEAD], by_count[HEAD::step])))
+    out = []
+    for some, keys, n in ((texts[1], toxic[good], n_toxic[good]), (texts[0], clean[picked], n_clean[picked])):
+        named: dict[str, int] = {}
+        for at in range(0, len(some), 64):
+            stream = Stream(some[at : at + 64])
+            hashes = stream.hashes()
+            for k in np.flatnonzero(np.isin(hashes, keys)):
+                if some is texts[0] or not stream.string(k) in named:
+                    words = stream.words(k)
+                    machine.learn(set(words))
+                    if some is texts[0] or all(machine.cache[w] < HIT for w in words):
+                        named[stream.string(k)] = int(n[np.searchsorted(keys, hashes[k])])
+        out.append(sorted(named.items(), key=lambda s: (-s[1], s[0])))
+    return out[0], out[1]
+
+
+def train_windows(samples: list[tuple[str, int]], positive: list[str], machine: Machine) -> tuple[np.ndarray, float]:
+    """The machine of windows: toxic words (however they are split) and toxic phrases against windows of clean documents."""
+    phrases, clean = toxic_windows(samples, machine)
+    words = [w for w in dict.fromkeys(INNER.sub("", w) for w in positive) if len(w) >= ORDER]
+    support = dict.fromkeys(words, 100) | dict(phrases)
+    toxic = [*support]
+    documents = {w: n for w, n in clean if w not in support}
+    if not toxic or not documents:
+        return np.zeros(SLOTS, np.float32), -1.0
+    landmarks = farthest_first([p for pair in zip_longest(words, (p for p, _ in phrases)) for p in pair if p], LANDMARKS, NARROW)
+    texts = [t or "" for t, label in samples if not label]
+    for again in (True, False):
+        negative = [*documents]
+        y = np.array([1.0] * len(toxic) + [-1.0] * len(negative))
+        cost = np.concatenate((3 * np.sqrt([min(400, support[w]) for w in toxic]), np.sqrt([min(400, 1 + documents[w]) for w in negative])))
+        table, bias = fit_table(toxic + negative, y, cost, landmarks, negative, NARROW)
+        if again:  # the windows of all clean documents that look toxic are learned too
+            for at in range(0, len(texts), 64):
+                stream = Stream(texts[at : at + 64])
+                for k in np.flatnonzero(stream.margins(table, bias) > -0.3):
+                    if (w := stream.string(k)) not in support and len(documents) < 2 * (HEAD + TAIL):
+                        documents[w] = documents.get(w, 0) + 3
+    return table, bias
+
+
+def fit_table(words: list[str], y: np.ndarray, cost: np.ndarray, landmarks: list[str], negative: list[str], span: int = SPAN) -> tuple[np.ndarray, float]:
+    """Nystroem features and the machine on them, folded into a table of subsequences, and the bias."""
     landmarks = landmarks + negative[: 2 * CLEAN_LANDMARKS : 2]
     like = np.empty((len(words), 0), np.float32)
     for again in range(HARDER + 1):  # the clean words that look most toxic become landmarks too
-        like = np.concatenate((like, kernel(words, landmarks[like.shape[1] :])), axis=1)
-        inside = kernel(landmarks, landmarks).astype(float)
+        like = np.concatenate((like, kernel(words, landmarks[like.shape[1] :], span)), axis=1)
+        inside = kernel(landmarks, landmarks, span).astype(float)
         values, vectors = np.linalg.eigh((inside + inside.T) / 2)
         keep = values > 1e-4
         root = vectors[:, keep] / np.sqrt(values[keep])  # K(L, L)^(-1/2) up to a rotation
@@ -318,23 +500,10 @@ def train(samples: list[tuple[str, int]], rates: tuple[float, float] = (1.0, 1.0
     table = np.zeros(SLOTS, np.float32)
     for n, rows in by_length(landmarks):
         if n >= ORDER:
-            keys, weights, norms = features([landmarks[i] for i in rows], n)
+            keys, weights, norms = features([landmarks[i] for i in rows], n, span)
             for k, i in enumerate(rows):
                 np.add.at(table, keys[k], beta[i] * weights / norms[k])
-    machine = Machine(table, bias, ())
-    for some in documents:
-        machine.learn(set(some[0]))
-    described = np.array([machine.describe(words) for words, _ in documents])
-    labels = np.array([label for _, label in documents], float)
-    weight = np.where(labels > 0, rates[1], rates[0])
-    use = np.ones(described.shape[1], bool)
-    while True:  # more or stronger insults never lower a score
-        fitted = fit_logistic(described * use, labels, weight)
-        if (fitted[:-1] >= 0).all() or not use.any():
-            break
-        use &= fitted[:-1] >= 0
-    machine.weights = tuple((fitted * np.append(use, True)).tolist())
-    return machine
+    return table, bias
 
 
 def held_out(doc_id) -> object:
@@ -367,8 +536,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             texts = texts_of(batch["text"])
             for at in range(0, len(texts), 64):
                 some = [words_in(t) for t in texts[at : at + 64]]
+                more = fitted.window_hits(texts[at : at + 64])
                 fitted.learn({w for words in some for w in words})
-                scores += [fitted.score(*fitted.describe(words)) for words in some]
+                scores += [fitted.score(*fitted.describe(words, hits)) for words, hits in zip(some, more, strict=True)]
             yield pa.record_batch([batch["doc_id"], pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = identified(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")

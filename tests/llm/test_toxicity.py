@@ -78,3 +78,42 @@ def test_awkward_and_unlabelled(spark):
     got = score_documents(frame(spark, awkward()), none).collect()
     assert len(got) == len(awkward()) and all(r.score < 0.01 and r.predicted == 0 for r in got)
     assert score_documents(frame(spark, []), none).count() == 0
+
+
+def test_split_words_and_phrases_of_ordinary_words():
+    phrase = document(1, False).split()[5:9]
+
+    def with_phrase(seed: int, together: bool) -> str:
+        words = document(seed, False).split()
+        for at, w in [(20, " ".join(phrase))] if together else zip((5, 20, 35, 50), phrase, strict=True):
+            words.insert(at, w)
+        return " ".join(words)
+
+    samples = [(document(k, k % 4 == 0), int(k % 4 == 0)) for k in range(300)]
+    samples += [(with_phrase(1000 + k, k % 2 == 0), int(k % 2 == 0)) for k in range(100)]
+    machine = toxicity.train(samples)
+
+    def flagged(texts: list[str]) -> int:
+        n = 0
+        for text, more in zip(texts, machine.window_hits(texts), strict=True):
+            words = words_in(text)
+            machine.learn(set(words))
+            n += machine.score(*machine.describe(words, more)) >= toxicity.CUT
+        return n
+
+    assert flagged([document(7000 + k, True, lambda w: w[:3] + " " + w[3:]) for k in range(40)]) >= 36
+    assert flagged([with_phrase(8000 + k, True) for k in range(40)]) >= 36
+    assert flagged([with_phrase(8000 + k, False) for k in range(40)]) <= 2
+    assert flagged([document(9000 + k, False) for k in range(40)]) <= 2
+
+
+def test_margins_of_windows_are_the_kernel_machine():
+    rng = np.random.default_rng(3)
+    table = rng.normal(size=toxicity.SLOTS)
+    stream = toxicity.Stream(["You idi-ot go. A b\u00e9 cd!", "", "v1.2 next \U0001f600 x"])
+    got = stream.margins(table, 0.5)
+    strings = [stream.string(k) for k in range(len(got))]
+    assert {"youidiot", "idiotgo", "youidiotgo", "ab\u00e9cd", "2next", "nextx", "v12nextx"} <= set(strings) and "goab\u00e9" not in strings
+    for text, margin in zip(strings, got, strict=True):
+        keys, weights, norms = toxicity.features([text], len(text) + 1, toxicity.NARROW)
+        assert abs(margin - 0.5 - (table[keys[0]] * weights).sum() / norms[0]) < 1e-6
