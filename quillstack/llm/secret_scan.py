@@ -1,18 +1,20 @@
 """Secrets by patterns and by a randomness test battery.
 
 Base kinds are patterns: assignments to password-like names, access keys, long hexadecimal runs. The battery looks at every
-other long token of credential alphabets: it infers the smallest encoding the token fits (hex, base32, base36, base62, base64; a run that
-mixes +/ with _- fits none and is taken apart at them) and asks
+other long token of credential alphabets, all-letter and all-digit ones included: it infers the smallest encoding the token fits (decimal, hex, letters of
+one case, base32, base36, letters of both, base62, base64; a run that mixes +/ with _- fits none and is taken apart at them) and asks
 
-* chi-squared uniformity over that alphabet, the runs test about the alphabet's median, and lag-one serial correlation: each
-  must fail to reject a uniform random string (at ``LEVEL``);
-* how unlikely an ordinary string of this length is to look so: the chi-squared statistic's lower tail under the corpus's own
-  character frequencies, and the upper tail of its changes between lower case, upper case and digits under the corpus's own rate,
-  combined by Fisher's method into a p-value.
+* chi-squared uniformity over that alphabet, the runs test about the alphabet's median, and lag-one serial correlation: a token for which one of them
+  rejects a uniform random string (at ``LEVEL``) has p-value 1;
+* of the others, how unlikely ordinary text is to look so, by the same three kinds of test under the corpus's own statistics: the chi-squared
+  statistic's lower tail under its character frequencies, the upper tail of the runs (changes between lower case, upper case and
+  digits) under its rate, the lower tail of the neighbours' log-likelihood under its letter pairs. They are combined into 1.5 times the middle one of the
+  three, a p-value however they depend on each other, and one that a single null that fits badly (capitals inside words, a rare language) can't make small.
 
-These p-values, of all candidates of the corpus, go through a Benjamini-Hochberg step-up per length class at rate ``RATE``: a class
-of short tokens, in which the tests can tell little, asks for more than one of long ones. Frequencies, rates and p-value histograms are
-sums over all documents; what reaches the driver is a few hundred numbers whatever the size of the corpus.
+The p-values of all tested tokens of the corpus, those the battery refused included, go through a Benjamini-Hochberg step-up per length class at rate
+``RATE``: a class of short tokens, in which the tests can tell little, asks for more than one of long ones. Refusing a token can only raise
+its p-value, so the step-up's rate stands as far as the three nulls do (tests hold it on simulated corpora without secrets). Frequencies, rates, pair
+counts and p-value histograms are sums over all documents; what reaches the driver is a few thousand numbers whatever the size of the corpus.
 
 Defined cases: null text is empty; texts are scanned whole and tokens of every length tested; rows that repeat a doc_id are scanned each; an empty table gives no
 rows; other columns are carried by ``redact`` and ignored by ``scan``.
@@ -24,6 +26,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -45,9 +48,12 @@ MIXED = (re.compile("[+/]"), re.compile("[_-]"))
 #: Parts of a run that mixes +/ with _- and so fits no encoding.
 PARTS = (re.compile(r"[A-Za-z0-9_-]{20,}"), re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9]{20,}"))
 ENCODINGS = (
+    ("decimal", re.compile(r"[0-9]+"), 10),
     ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16),
+    ("letters", re.compile(r"[a-z]+|[A-Z]+"), 26),
     ("base32", re.compile(r"[A-Z2-7]+"), 32),
     ("base36", re.compile(r"[0-9a-z]+|[0-9A-Z]+"), 36),
+    ("base52", re.compile(r"[A-Za-z]+"), 52),
     ("base62", re.compile(r"[0-9A-Za-z]+"), 62),
     ("base64", re.compile(r"[0-9A-Za-z+/]+|[0-9A-Za-z_-]+"), 64),
 )
@@ -55,6 +61,8 @@ ENCODINGS = (
 CACHED = 4096
 LEVEL = 0.001
 RATE = 0.01
+#: A word's neighbouring pairs depend on each other, so the sum's variance is taken this many times larger.
+SERIAL_EXCESS = 2.0
 #: Length classes of the step-up, by their least length.
 CLASSES = (20, 28, 40, 64, 128)
 #: Histogram of -ln p: bins a unit, and bins in all.
@@ -75,6 +83,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def _alphabet(name: str, token: str) -> str:
     digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    if name == "decimal":
+        return digits
+    if name == "letters":
+        return lower if token[0].islower() else lower.upper()
+    if name == "base52":
+        return lower.upper() + lower
     if name == "hex":
         return digits + ("ABCDEF" if re.search("[A-F]", token) else "abcdef")
     if name == "base32":
@@ -97,7 +111,7 @@ def _chi_tail(x: float, k: int) -> float:
 def battery(token: str) -> tuple[str, str, float, int] | None:
     """(encoding, alphabet, chi-squared, class changes) if no test rejects a uniform random string, else None."""
     name, _, size = next((e for e in ENCODINGS if e[1].fullmatch(token)), (None, None, 0))
-    if name is None or token.isdigit() or token.isalpha() and name != "base62":
+    if name is None:
         return None
     alphabet = _alphabet(name, token)
     place = {c: i for i, c in enumerate(alphabet)}
@@ -131,68 +145,86 @@ def tested(token: str) -> tuple[str, str, float, int] | None:
 
 
 def tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """What is tested of a run: the run, or, if it fits no encoding, its parts that pass, the longest of those that overlap."""
+    """What is tested of a run: the run, or, if it fits no encoding, its parts in each alphabet."""
     if not (MIXED[0].search(text, start, end) and MIXED[1].search(text, start, end)):
         return [(start, end)]
-    found = {m.span() for part in PARTS for m in part.finditer(text, start, end) if tested(m[0])}
-    passed: list[tuple[int, int]] = []
-    for a, b in sorted(found, key=lambda s: (s[0] - s[1], s)):
-        at = bisect_left(passed, (b,))
-        if not at or passed[at - 1][1] <= a:
-            passed.insert(at, (a, b))
-    return passed
+    return sorted({m.span() for part in PARTS for m in part.finditer(text, start, end)})
 
 
-def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, tuple[str, str, float, int]]]:
-    """(start, end, battery) of tokens that pass the battery and that no base span touches."""
+def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, tuple[str, str, float, int] | None]]:
+    """(start, end, battery) of the tokens that no base span touches; the battery is None if a test rejects a random string."""
     for m in CANDIDATE.finditer(text):
-        for start, end in tokens(text, *m.span()):
-            found = tested(text[start:end])
-            if found and not any(a < end and start < b for a, b, _ in base):
-                yield start, end, found
+        if any(a < m.end() and m.start() < b for a, b, _ in base):
+            yield from ((start, end, tested(text[start:end])) for start, end in tokens(text, *m.span()) if not any(a < end and start < b for a, b, _ in base))
+        else:
+            yield from ((start, end, tested(text[start:end])) for start, end in tokens(text, *m.span()))
 
 
 CLASS_OF = np.zeros(256, np.int8)
 CLASS_OF[48:58], CLASS_OF[97:123], CLASS_OF[65:91] = 1, 2, 3
+#: Characters of letter pairs, case folded; what stands between words has the last place.
+PLACE_OF = np.full(256, 40, np.int64)
+PLACE_OF[48:58] = np.arange(10)
+PLACE_OF[97:123] = PLACE_OF[65:91] = np.arange(10, 36)
+PLACE_OF[[ord(c) for c in "+/_-"]] = np.arange(36, 40)
+#: Places of the survey's sums: ASCII characters, neighbours in a word and class changes among them, tested tokens by length class, pairs.
+NEIGHBOURS, CHANGES, TESTED, PAIRS = 128, 129, 130, 200
+SUMS = PAIRS + 41 * 41
+
+
+def survey_text(text: str, totals: np.ndarray) -> list[tuple[str, str, float, int]]:
+    """Add a text to the sums; (token, alphabet, chi-squared, changes) of the tokens that the battery does not refuse."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    totals[:128] += np.bincount(raw, minlength=256)[:128]
+    kinds, places = CLASS_OF[raw], PLACE_OF[raw]
+    inside = (kinds[1:] > 0) & (kinds[:-1] > 0)
+    totals[NEIGHBOURS] += int(inside.sum())
+    totals[CHANGES] += int((inside & (kinds[1:] != kinds[:-1])).sum())
+    totals[PAIRS:] += np.bincount(places[:-1] * 41 + places[1:], minlength=41 * 41)
+    found = []
+    for start, end, battery_ in candidates(text, base_spans(text)):
+        totals[TESTED + _class_of(end - start)] += 1
+        if battery_:
+            found.append((text[start:end], *battery_[1:]))
+    return found
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the corpus: counts of ASCII characters (key 0-127), of neighbours in a word and of class changes among them (128, 129); and each candidate (key 1000)."""
-    totals = np.zeros(130, np.int64)
+    """The sums of a task (a row for each that is not zero) and its tokens (key -1)."""
+    totals = np.zeros(SUMS, np.int64)
     for batch in batches:
-        rows = []
-        for text in texts_of(batch["text"]):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            totals[:128] += np.bincount(raw, minlength=256)[:128]
-            kinds = CLASS_OF[raw]
-            inside = (kinds[1:] > 0) & (kinds[:-1] > 0)
-            totals[128] += int(inside.sum())
-            totals[129] += int((inside & (kinds[1:] != kinds[:-1])).sum())
-            rows += [(1000, 1, e - s, *found) for s, e, found in candidates(text, base_spans(text))]
-        yield _survey_batch(rows)
-    yield _survey_batch([(k, int(n), None, None, None, None, None) for k, n in enumerate(totals) if n])
+        yield _survey_batch([(-1, 1, *row) for text in texts_of(batch["text"]) for row in survey_text(text, totals)])
+    yield _survey_batch([(k, int(n), None, None, None, None) for k, n in enumerate(totals) if n])
 
 
-SURVEY = "key int, n long, length int, encoding string, alphabet string, chi double, changes int"
+SURVEY = "key int, n long, token string, alphabet string, chi double, changes int"
 
 
 def _survey_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32())
-    columns = [*zip(*rows, strict=True)] or [()] * 7
+    types = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32())
+    columns = [*zip(*rows, strict=True)] or [()] * 6
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in SURVEY.split(", ")])
 
 
 class Ordinary:
-    """The ordinary-text null: p-value of a token that passed the battery."""
+    """The ordinary-text null: p-value of a token that the battery did not refuse."""
 
     def __init__(self, totals: dict[int, int]):
         self.totals = totals
-        self.rate = min(0.5, (totals.get(129, 0) + 1) / (totals.get(128, 0) + 20))
+        self.rate = min(0.5, (totals.get(CHANGES, 0) + 1) / (totals.get(NEIGHBOURS, 0) + 20))
         self.tails = lru_cache(1 << 14)(self._tail)
         self.moments = lru_cache(64)(self._moments)
+        pairs = np.array([totals.get(PAIRS + k, 0) for k in range(41 * 41)], float).reshape(41, 41)
+        single = pairs[:40, :40].sum(axis=0) + 0.5
+        mixed = pairs[:40, :40] + 8 * single / single.sum()  # a rare first character says what all do
+        self.log = np.log(mixed / mixed.sum(axis=1, keepdims=True))
+        share = mixed / mixed.sum()
+        self.mean = float((share * self.log).sum())
+        self.spread = math.sqrt(float((share * (self.log - self.mean) ** 2).sum()) * SERIAL_EXCESS)
 
     def _moments(self, alphabet: str) -> tuple[float, float]:
-        q = np.array([self.totals.get(ord(c), 0) + 0.5 for c in alphabet], float)
+        one_case = "a" not in alphabet or "A" not in alphabet  # then the letters of both count: a corpus may have few of a case
+        q = np.array([self.totals.get(ord(c), 0) + (self.totals.get(ord(c.swapcase()), 0) if one_case and c.isalpha() else 0) + 0.5 for c in alphabet], float)
         q /= q.sum()
         return float((q**2).sum()), float((q**3).sum())
 
@@ -203,15 +235,22 @@ class Ordinary:
         top = max(terms)
         return min(1.0, math.exp(top) * sum(math.exp(t - top) for t in terms))
 
-    def p_value(self, n: int, alphabet: str, chi: float, changes: int) -> float:
+    def serial(self, token: str) -> float:
+        """Lower tail of the neighbours' log-likelihood."""
+        places = PLACE_OF[np.frombuffer(token.encode(), np.uint8)]
+        total = float(self.log[places[:-1], places[1:]].sum())
+        n = len(token) - 1
+        return _normal_tail((n * self.mean - total) / (self.spread * math.sqrt(n)))
+
+    def p_value(self, token: str, alphabet: str, chi: float, changes: int) -> float:
+        n = len(token)
         s2, s3 = self.moments(alphabet)
         size = len(alphabet)
         mean = size * (1 - s2) + n * (size * s2 - 1)
         spread = 2 * size / n * math.sqrt(n * (n - 1) / 2 * (s2 - s2 * s2) + n * (n - 1) * (n - 2) * max(s3 - s2 * s2, 0))
-        by_chi = max(_normal_tail((mean - chi) / max(spread, 1e-9)), 1e-12)
-        by_runs = max(self.tails(n - 1, changes), 1e-30)
-        half = -(math.log(by_chi) + math.log(by_runs))  # Fisher: twice this is chi-squared with 4 degrees of freedom
-        return math.exp(-half) * (1 + half)
+        by_chi = _normal_tail((mean - chi) / max(spread, 1e-9))
+        by_runs = self.tails(n - 1, changes)
+        return min(1.0, 1.5 * sorted((by_chi, by_runs, self.serial(token)))[1])
 
 
 def _class_of(n: int) -> int:
@@ -222,11 +261,10 @@ def _bin(p: float) -> int:
     return min(BINS - 1, int(-math.log(max(p, 1e-300)) * BINS_A_UNIT))
 
 
-def step_up(histogram: dict[tuple[int, int], int], rate: float = RATE) -> dict[int, int]:
-    """Least accepted bin of each length class: the largest p-value p(k) <= rate * k / m, by bins."""
+def step_up(histogram: dict[tuple[int, int], int], tested_: list[int], rate: float = RATE) -> dict[int, int]:
+    """Least accepted bin of each length class: the largest p-value p(k) <= rate * k / m, by bins; m is the number of tokens tested."""
     least = {}
-    for group in range(len(CLASSES)):
-        total = sum(n for (g, _), n in histogram.items() if g == group)
+    for group, total in enumerate(tested_):
         passed, accepted = 0, BINS
         for k in range(BINS - 1, -1, -1):
             passed += histogram.get((group, k), 0)
@@ -250,28 +288,44 @@ class Model:
         """Base spans, and all spans by start, then kind."""
         self.null = self.null or Ordinary(self.totals)
         base = base_spans(text)
-        more = [
-            (start, end, "random")
-            for start, end, (_, alphabet, chi, changes) in candidates(text, base)
-            if _bin(self.null.p_value(end - start, alphabet, chi, changes)) >= self.least[_class_of(end - start)]
+        passed = [
+            (start, end)
+            for start, end, found in candidates(text, base)
+            if found and _bin(self.null.p_value(text[start:end], *found[1:])) >= self.least[_class_of(end - start)]
         ]
-        return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
+        more: list[tuple[int, int]] = []
+        for start, end in sorted(passed, key=lambda s: (s[0] - s[1], s)):  # of parts that overlap, the longest
+            at = bisect_left(more, (end,))
+            if not at or more[at - 1][1] <= start:
+                more.insert(at, (start, end))
+        return base, sorted(base + [(start, end, "random") for start, end in more], key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+def fit_texts(texts: list[str], rate: float = RATE) -> Model:
+    """The model of a few texts, without Spark."""
+    totals = np.zeros(SUMS, np.int64)
+    found = [row for text in texts for row in survey_text(text, totals)]
+    sums = {k: int(n) for k, n in enumerate(totals) if n}
+    null = Ordinary(sums)
+    histogram = Counter((_class_of(len(row[0])), _bin(null.p_value(*row))) for row in found)
+    return Model(sums, step_up(histogram, [sums.get(TESTED + k, 0) for k in range(len(CLASSES))], rate))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> Model:
-    """One pass over the corpus for frequencies and candidates; sums are made in Spark."""
+    """One pass over the corpus for the sums and tokens; sums are made in Spark."""
     session(docs)
     survey = materialize(identified(docs, id_col, text_col).mapInArrow(_survey, SURVEY), "secret-survey")
-    totals = {int(k): int(n) for k, n in survey.where("key < 1000").groupBy("key").agg(F.sum("n")).collect()}  # 130 rows at most
+    totals = {int(k): int(n) for k, n in survey.where("key >= 0").groupBy("key").agg(F.sum("n")).collect()}  # SUMS rows at most
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         null = Ordinary(totals)
         for batch in batches:
-            rows = [(_class_of(n), _bin(null.p_value(n, a, x, c))) for n, a, x, c in zip(*(batch[k].to_pylist() for k in ("length", "alphabet", "chi", "changes")), strict=True)]
+            rows = [(_class_of(len(t)), _bin(null.p_value(t, a, x, c))) for t, a, x, c in zip(*(batch[k].to_pylist() for k in ("token", "alphabet", "chi", "changes")), strict=True)]
             yield pa.record_batch([pa.array([r[i] for r in rows], pa.int32()) for i in (0, 1)], ["grp", "bin"])
 
-    counted = survey.where("key = 1000").mapInArrow(bins, "grp int, bin int").groupBy("grp", "bin").agg(F.count("*"))
-    return Model(totals, step_up({(g, k): n for g, k, n in counted.collect()}, rate))  # a few thousand rows at most
+    counted = survey.where("key = -1").mapInArrow(bins, "grp int, bin int").groupBy("grp", "bin").agg(F.count("*"))
+    histogram = {(g, k): n for g, k, n in counted.collect()}  # a few thousand rows at most
+    return Model(totals, step_up(histogram, [totals.get(TESTED + k, 0) for k in range(len(CLASSES))], rate))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
