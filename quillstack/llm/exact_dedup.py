@@ -8,7 +8,7 @@ and a hot group is one record of a run from its first partition on. Each merge c
 per digest the identifier that stays, the number of rows and the number of rows that carry this identifier.
 
 Defined cases: a null text equals the empty text; a null id is smaller than every id, and a group of null ids only has
-a null keep_id; of rows that repeat both the id that stays and the text, exactly one is kept; an empty table gives no rows;
+a null keep_id; of rows that repeat both the id that stays and the text, exactly one is kept, the first in the table's files; an empty table gives no rows;
 other columns are carried by ``keep_one`` and ignored by ``exact_groups``.
 """
 
@@ -20,10 +20,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, materialize, session, shuffle_partitions
+from .common import identified, materialize, session, shuffle_partitions, stable, without_rows
 
 NULL_ID = np.int64(-(2**63))
 #: Words of a record: four of the digest (big-endian order), the id that stays, rows, rows with that id.
@@ -149,27 +149,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return runs
 
 
-def _flag(rows: DataFrame, groups: DataFrame, row_id: str, digest: str, kept: str, same_plan: bool = False) -> DataFrame:
-    """Join the groups to rows by digest (a hot group is a skewed left join, which AQE splits) and mark what stays.
-
-    same_plan: merge join at every size, so that rows with texts move alike on small and on large inputs.
-    """
+def _flag(rows: DataFrame, groups: DataFrame, row_id: str, digest: str, kept: str, tie: str) -> DataFrame:
+    """Join the groups to rows by digest (a hot group is a skewed left join, which AQE splits) and mark what stays; of rows with equal id and text the least tie."""
     groups = materialize(groups, "exact-groups").select(F.col("digest").alias("__d"), "keep_id", "group_size", "n_keep")
-    joined = rows.join(groups.hint("merge") if same_plan else groups, rows[digest] == groups["__d"], "left")
+    joined = rows.join(groups, rows[digest] == groups["__d"], "left")
     stays = F.col("group_size").isNull() | F.col(row_id).eqNullSafe(F.col("keep_id"))
-    if not groups.where("n_keep > 1").isEmpty():  # repeated rows: number those that tie, spread the others
-        tied = stays & (F.col("n_keep") > 1)
-        spread = F.when(tied, F.lit(-1)).otherwise(F.monotonically_increasing_id())
-        rank = F.row_number().over(Window.partitionBy(F.when(tied, F.col(digest)), spread).orderBy(F.lit(0)))
-        joined = joined.withColumn("__rank", rank)
-        stays = stays & (F.col("__rank") == 1)
+    tied_groups = groups.where("n_keep > 1")
+    if not tied_groups.isEmpty():  # repeated rows: the first of those that tie, found with partial sums
+        first = joined.where(stays & (F.col("n_keep") > 1)).groupBy(F.col(digest).alias("__t")).agg(F.min(tie).alias("__first"))
+        joined = joined.join(first, F.col(digest) == F.col("__t"), "left")
+        stays = stays & (F.col("__first").isNull() | (F.col(tie) == F.col("__first")))
     return joined.withColumn(kept, F.coalesce(stays, F.lit(False)))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    digests = identified(docs, id_col, text_col).select("doc_id", digest_of(F.col("text")).alias("digest"))
-    flagged = _flag(digests, exact_groups(docs, id_col, text_col, largest=largest), "doc_id", "digest", "kept")
+    docs = stable(docs)
+    digests = identified(docs, id_col, text_col).select("doc_id", digest_of(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("__no"))
+    flagged = _flag(digests, exact_groups(docs, id_col, text_col, largest=largest), "doc_id", "digest", "kept", "__no")
     return flagged.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -180,7 +177,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = True) -> DataFrame:
-    """The input's rows and columns without the duplicates."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), digest_of(F.col(text_col).cast("string")).alias("__digest"))
-    flagged = _flag(rows, exact_groups(docs, id_col, text_col, largest=largest), "__id", "__digest", "__kept", same_plan=True)
-    return flagged.where("__kept").select("__row.*")
+    """The input's rows and columns without the duplicates. Only digests and row numbers move; the rows are read again and filtered where they are."""
+    docs = stable(docs)
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), digest_of(F.col(text_col).cast("string")).alias("__digest"), F.monotonically_increasing_id().alias("__no"))
+    flagged = _flag(rows, exact_groups(docs, id_col, text_col, largest=largest), "__id", "__digest", "__kept", "__no")
+    return without_rows(docs, flagged.where(~F.col("__kept")), "exact-drops")

@@ -6,11 +6,14 @@ bit deleted: 64 keys (position, segment without that bit). An equality shuffle o
 linked; each candidate is verified on the whole fingerprints. A bucket gives a spanning forest of its verified links, never
 all of its pairs; the forests of all buckets go through distributed connected components.
 
-Equal fingerprints are collapsed first, so a group of copies is one node however large it is.
+Equal fingerprints are collapsed first, so a group of copies is one node however large it is. A key that many fingerprints share (a large group of
+near copies) is split before the shuffle: two of its fingerprints within the distance agree in one of five pieces of the 64 bits, so each goes
+under its five pieces, and no pair is lost. Such keys are found on every 64th fingerprint by hash; which keys are split changes no result.
 
 Defined cases: null and empty texts, and texts of white space only, have fingerprint zero and link like any other; a null
 doc_id is never a component's smallest unless all its ids are null (then component_id is null); repeated rows give a row
-each; an empty table gives no rows; other columns are ignored.
+each; of a component ``keep_representatives`` keeps the one row with the smallest id (rows with a null id last, then the first in the table's files); an empty table
+gives no rows; other columns are carried by ``keep_representatives``, ignored otherwise.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, identified, materialize, session, shuffle_partitions
-from .components import connected_components
+from .common import bytes_of, identified, materialize, numbered, session, shuffle_partitions, stable, without_rows
+from .components import connected_components, hub_join
 
 SEED = 42
 SHINGLE = 4
@@ -33,6 +36,9 @@ SEGMENTS = (0, 22, 43, 64)
 #: Buckets up to this size are compared by shifted slices, larger ones block by block.
 SMALL_BUCKET = 48
 BLOCK = 2048
+#: Keys of more fingerprints than this, and than this share of all entries, are split; one fingerprint in so many is looked at to find them.
+HOT_KEY, HOT_SHARE, LOOKED_AT = 4 * BLOCK, 10_000, 64
+PIECES = (0, 13, 26, 39, 52, 64)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -59,13 +65,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in bytes_of(batch["text"])], dtype=np.uint64).view(np.int64)
-        yield pa.record_batch([batch["doc_id"], pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        yield pa.record_batch([batch["doc_id"], pa.array(prints, pa.int64()), batch["__no"]], ["doc_id", "fp", "__no"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) of every row."""
+    """(doc_id, fp long, __no) of every row, by its number."""
     session(docs)
-    return identified(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return numbered(identified(docs, id_col, text_col)).mapInArrow(_fingerprints, "doc_id long, fp long, __no long")
 
 
 def deletion_keys(fp: str = "fp"):
@@ -155,31 +161,48 @@ def _forest(distance: int):
     return run
 
 
-def near_groups(prints: DataFrame, distance: int = 4, task_rows: int = 2_000_000) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of (doc_id, fp) rows."""
+def split_hot(variants: DataFrame, distinct: DataFrame, n: int, hot_key: int = HOT_KEY) -> DataFrame:
+    """(key long, fp): entries of hot keys under the pieces of their fingerprint as well."""
+    limit = max(hot_key, 64 * n // HOT_SHARE)
+    looked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(LOOKED_AT)) == 0).select(F.explode(deletion_keys()).alias("hot"))
+    hot = looked.groupBy("hot").agg(F.count("*").alias("__n")).where(F.col("__n") > max(1, limit // LOOKED_AT)).select("hot")  # HOT_SHARE rows or so at most
+    pieces = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << high - low) - 1)) for low, high in zip(PIECES, PIECES[1:], strict=False)]
+    parts = F.array(*[F.xxhash64(F.col("key"), F.lit(k), piece) for k, piece in enumerate(pieces)])
+    marked = variants.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")
+    return marked.select(F.explode(F.when(F.col("hot").isNull(), F.array(F.col("key").cast("long"))).otherwise(parts)).alias("key"), "fp")
+
+
+def near_groups(prints: DataFrame, distance: int = 4, task_rows: int = 2_000_000, hot_key: int = HOT_KEY) -> DataFrame:
+    """(fp, component_id, keep_no) for each distinct fingerprint of (doc_id, fp, __no) rows; keep_no is the number of the component's representative."""
     spark = session(prints)
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    width = max(shuffle_partitions(spark), -(-distinct.count() * 64 // task_rows))
+    prints = prints if "__no" in prints.columns else numbered(prints)
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__no")
+    distinct = materialize(prints.groupBy("fp").agg(F.min(order).alias("least")), "prints")
+    n = distinct.count()
+    width = max(shuffle_partitions(spark), -(-n * 64 // task_rows))
     variants = distinct.select(F.explode(deletion_keys()).alias("key"), "fp")
-    links = variants.repartition(width, "key").mapInArrow(_forest(distance), "u long, v long")
+    links = split_hot(variants, distinct, n, hot_key).repartition(width, "key").mapInArrow(_forest(distance), "u long, v long")
     roots = connected_components(links)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    rooted = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    return hub_join(rooted, "root", least, n).select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.__no").alias("keep_no"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, distance: int) -> DataFrame:
+    """(doc_id, fp, __no, component_id, keep_no) of every row."""
     if distance != 4:
         raise ValueError("the segments are cut for distance 4")
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     groups = near_groups(prints, distance).withColumnRenamed("fp", "__fp")
-    return prints.join(groups, prints["fp"] == groups["__fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(groups, prints["fp"] == groups["__fp"])
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    return _grouped(docs, id_col, text_col, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, of each component only the rows with its smallest id (rows with a null id stay)."""
-    others = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__other"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"))
-    # a merge join at every size: texts move alike on small and on large inputs
-    return rows.join(others.hint("merge"), F.col("__id") == F.col("__other"), "left_anti").select("__row.*")
+    """The input's rows and columns, one row of each component. Only fingerprints and row numbers move; the rows are read again and filtered where they are."""
+    docs = stable(docs)
+    return without_rows(docs, _grouped(docs, id_col, text_col, 4).where("__no <> keep_no"), "near-drops")

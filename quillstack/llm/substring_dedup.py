@@ -1,11 +1,14 @@
-"""Repeated word windows by Rabin-Karp hashes counted in Spark.
-
-A task hashes every window of ``width`` words of its documents with a polynomial over the words' XXH64 values, modulo 2**64
-(prefix sums make a window a subtraction and a product). Within a block of documents equal windows meet first: all but those of
-the smallest doc_id are repeats whatever else the corpus holds, so a window in a third of all documents leaves each block
-once. The remaining distinct hashes are packed, eight bytes a window with its place, and dealt by hash range; the receiving task sorts them and
-tells, for each, whether a smaller doc_id has it. Covered starts go, packed too, to the task of their document, merge into maximal
-intervals, and the documents concerned are cut.
+"""Repeated word windows by Rabin-Karp hashes, counted over the whole corpus.
+
+A task hashes every window of ``width`` words of its documents with two independent polynomials (over the two halves of the words' 128-bit XXH3
+values; prefix sums make a window a subtraction and a product). A window's hash is 88 bits at every size and setting: 64 of the first and 24 of the
+second; words themselves are not compared, so of 10**13 distinct windows one false match in thousands of such corpora is expected. Within a block
+of documents equal windows meet first: all but those of the smallest doc_id are repeats whatever else the corpus holds, so a window in a third of all
+documents leaves each block once. The remaining distinct hashes are packed, eleven bytes a window with its place, and dealt by hash range (in two hops
+where there are more ranges than a block should send messages to); the receiving task counts them by sorting and tells, for each, whether a smaller
+doc_id has it (a shuffle of packed runs, then numpy: a row a window would be five times the data). Covered starts go, packed too, to the task of
+their row's number, whatever text it has, merge into maximal intervals, and wait in the shared folder for the task that reads the row: texts are
+read again and cut where they are, never shuffled.
 
 Defined cases: null and empty texts have no words, n_removed 0 and the hash of the empty text; a null doc_id is neither smaller
 nor larger than any, so such rows are returned whole and cover nothing; rows that repeat a doc_id do not cover each other, each
@@ -24,25 +27,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, identified, session, shuffle_partitions
+from .common import bytes_of, finish_notes, identified, numbered, session, shuffle_partitions, stable, with_notes, write_notes
 
 WINDOW = 50
-#: Odd, so that it has an inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Odd, so that they have inverses modulo 2**64.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Words of the documents that a task hashes at once, and windows that a receiving task should get.
 BLOCK_WORDS = 1 << 20
 TASK_WINDOWS = 1 << 21
+#: Ranges that a block sends messages to at most; beyond, a first hop goes to as many groups of ranges.
+FAN = 1 << 12
 WORD_CACHE = 1 << 19
+#: Bytes of a window's hash: eight of the first polynomial, three of the second.
+HASH_BYTES = 11
 
 
 class WordHashes(dict):
-    """Word to XXH64 value, emptied when large."""
+    """Word to the two halves of its XXH3 value, emptied when large."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) >= WORD_CACHE:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        both = xxhash.xxh3_128_intdigest(word)
+        value = self[word] = (both & 0xFFFFFFFFFFFFFFFF, both >> 64)
         return value
 
 
@@ -55,15 +62,16 @@ def _powers(base: int, n: int) -> np.ndarray:
 class RollingHash:
     """Rabin-Karp hashes of all windows of a sequence of word values."""
 
-    def __init__(self, width: int):
-        self.width, self.forward, self.back = width, _powers(BASE, 1024), _powers(INVERSE, 1024)
+    def __init__(self, width: int, base: int = BASES[0]):
+        self.width, self.base, self.inverse = width, base, pow(base, -1, 1 << 64)
+        self.forward, self.back = _powers(self.base, 1024), _powers(self.inverse, 1024)
 
     def windows(self, values: np.ndarray) -> np.ndarray:
         n = len(values)
         if n < self.width:
             return np.empty(0, np.uint64)
         if n > len(self.forward):
-            self.forward, self.back = _powers(BASE, 2 * n), _powers(INVERSE, 2 * n)
+            self.forward, self.back = _powers(self.base, 2 * n), _powers(self.inverse, 2 * n)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * self.back[:n], dtype=np.uint64)))
         found = (sums[self.width :] - sums[: n - self.width + 1]) * self.forward[: n - self.width + 1]
         found ^= found >> np.uint64(32)  # low bits depend on few words' low bits; mix before the range is taken
@@ -72,7 +80,7 @@ class RollingHash:
 
 
 def encode_places(table: np.ndarray, size: np.ndarray, place: np.ndarray) -> bytes:
-    """Pack (doc_id, text_key) rows, how many places each has, and these places (ascending within a row): about a byte a place."""
+    """Pack (doc_id, row number) rows, how many places each has, and these places (ascending within a row): about a byte a place."""
     starts = np.cumsum(size) - size
     steps = np.diff(place, prepend=0)
     inner = np.ones(len(place), bool)
@@ -105,9 +113,15 @@ def decode_places(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]
     return table, size, total - np.repeat(total[starts], size) + np.repeat(first, size), at + 4 * wides
 
 
+def _task_of(number: np.ndarray, targets: int) -> np.ndarray:
+    """The task that gathers a row's replies: by the row's number alone, so copies of a text are spread."""
+    mixed = number.astype(np.uint64) * np.uint64(BASES[0])
+    return ((mixed >> np.uint64(32)) * np.uint64(targets) >> np.uint64(32)).astype(np.int64)
+
+
 def _replies(table: np.ndarray, document: np.ndarray, place: np.ndarray, targets: int) -> Iterator[tuple[int, bytes]]:
-    """Covered starts, packed for the tasks that cut the documents: (-1 - task, message)."""
-    task = table[:, 1] % targets
+    """Covered starts, packed for the tasks that gather them: (-1 - task, message)."""
+    task = _task_of(table[:, 1], targets)
     order = np.lexsort((place, document, task[document]))
     document, place = document[order], place[order]
     of = task[document]
@@ -125,54 +139,115 @@ def _messages(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
 
-def _block_messages(ids: list[int], keys: list[int], hashes: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Covered starts known inside the block (bucket < 0), and the packed distinct windows by bucket.
+def _range_of(first: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of a hash: its leading bits."""
+    return ((first >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
-    The bucket is the leading part of a hash; of the hash itself seven bytes are sent.
-    """
-    count = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    every = np.concatenate(hashes)
-    document = np.repeat(np.arange(len(ids)), count)
-    place = np.arange(len(every)) - np.repeat(np.cumsum(count) - count, count)
-    owner = np.array(ids, np.int64)[document]
-    table = np.array([ids, keys], np.int64).T
-    order = np.lexsort((owner, every))
-    every, document, place, owner = every[order], document[order], place[order], owner[order]
-    starts = np.concatenate(([True], every[1:] != every[:-1]))
-    least = owner[np.flatnonzero(starts)][np.cumsum(starts) - 1]
-    covered = owner > least
-    rows = [*_replies(table, document[covered], place[covered], buckets)] if covered.any() else []
-    every, document, place = (x[~covered] for x in (every, document, place))
-    bucket = ((every >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+
+def _by_range(table: np.ndarray, document: np.ndarray, place: np.ndarray, first: np.ndarray, second: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Windows packed by bucket: documents and places, then the hashes."""
     order = np.lexsort((place, document, bucket))
-    every, document, place, bucket = every[order], document[order], place[order], bucket[order]
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+    document, place, bucket = document[order], place[order], bucket[order]
+    raw = np.empty((len(order), HASH_BYTES), np.uint8)
+    raw[:, :8] = first[order].view(np.uint8).reshape(-1, 8)
+    raw[:, 8:] = second[order].view(np.uint8).reshape(-1, 8)[:, : HASH_BYTES - 8]
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
     for a, b in zip(cuts, cuts[1:], strict=False):
         part = document[a:b]
         fresh = np.flatnonzero(np.diff(part, prepend=-1))
-        places = encode_places(table[part[fresh]], np.diff(np.append(fresh, b - a)), place[a:b])
-        rows.append((int(bucket[a]), places + every[a:b].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
-    return _messages(rows)
+        yield int(bucket[a]), encode_places(table[part[fresh]], np.diff(np.append(fresh, b - a)), place[a:b]) + raw[a:b].tobytes()
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(table, document, place, first, second) of messages."""
+    parts = [decode_places(blob) for blob in blobs]
+    tables = np.concatenate([p[0] for p in parts])
+    document = np.repeat(np.arange(len(tables), dtype=np.int32), np.concatenate([p[1] for p in parts]))
+    place = np.concatenate([p[2] for p in parts])
+    packed = np.concatenate([np.frombuffer(blob, np.uint8, offset=p[3]).reshape(-1, HASH_BYTES) for blob, p in zip(blobs, parts, strict=True)])
+    raw = np.zeros((len(place), 8), np.uint8)
+    raw[:, : HASH_BYTES - 8] = packed[:, 8:]
+    return tables, document, place, np.ascontiguousarray(packed[:, :8]).view(np.uint64).ravel(), raw.view(np.uint64).ravel()
+
+
+def _ordered(first: np.ndarray, second: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts) of groups of equal hashes; the second part is only sorted by where first parts meet by chance."""
+    order = np.argsort(first, kind="stable") if owner is None else np.lexsort((owner, first))
+    a, b = first[order], second[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((second, first)) if owner is None else np.lexsort((owner, second, first))
+        a, b = first[order], second[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    return order, np.concatenate(([True], ~same))
+
+
+def _block_messages(ids: list[int], numbers: list[int], hashes: list[tuple[np.ndarray, np.ndarray]], targets: int, ranges: int) -> pa.RecordBatch:
+    """Covered starts known inside the block (bucket < 0), and the packed distinct windows by range."""
+    first, second = (np.concatenate(h) for h in zip(*hashes, strict=True))
+    second = second & np.uint64((1 << 8 * (HASH_BYTES - 8)) - 1)
+    count = np.fromiter((len(h) for h, _ in hashes), np.int64, len(hashes))
+    document = np.repeat(np.arange(len(ids)), count)
+    place = np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+    owner = np.array(ids, np.int64)[document]
+    table = np.array([ids, numbers], np.int64).T
+    order, starts = _ordered(first, second, owner)
+    first, second, document, place, owner = first[order], second[order], document[order], place[order], owner[order]
+    covered = owner > owner[np.flatnonzero(starts)][np.cumsum(starts) - 1]
+    rows = [*_replies(table, document[covered], place[covered], targets)] if covered.any() else []
+    first, second, document, place = (x[~covered] for x in (first, second, document, place))
+    return _messages(rows + [*_by_range(table, document, place, first, second, _range_of(first, ranges))])
 
 
-def _hash_windows(width: int, buckets: int) -> Callable:
+def _hash_windows(width: int, targets: int, ranges: int, word_hashes: Callable = WordHashes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, rolling, size = WordHashes(), RollingHash(width), 0
-        ids, keys, hashes = [], [], []
+        cache, rolling, size = word_hashes(), [RollingHash(width, base) for base in BASES], 0
+        ids, numbers, hashes = [], [], []
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), bytes_of(batch["text"]), strict=True):
+            for doc_id, number, text in zip(batch["doc_id"].to_pylist(), batch["__no"].to_pylist(), bytes_of(batch["text"]), strict=True):
                 words = text.split()
                 if doc_id is None or len(words) < width:
                     continue
+                values = np.array([cache[w] for w in words], dtype=np.uint64)
                 ids.append(doc_id)
-                keys.append(xxhash.xxh64_intdigest(text) >> 1)
-                hashes.append(rolling.windows(np.array([cache[w] for w in words], dtype=np.uint64)))
+                numbers.append(number)
+                hashes.append((rolling[0].windows(np.ascontiguousarray(values[:, 0])), rolling[1].windows(np.ascontiguousarray(values[:, 1]))))
                 size += len(words)
                 if size >= BLOCK_WORDS:
-                    yield _block_messages(ids, keys, hashes, buckets)
-                    ids, keys, hashes, size = [], [], [], 0
+                    yield _block_messages(ids, numbers, hashes, targets, ranges)
+                    ids, numbers, hashes, size = [], [], [], 0
         if ids:
-            yield _block_messages(ids, keys, hashes, buckets)
+            yield _block_messages(ids, numbers, hashes, targets, ranges)
+
+    return run
+
+
+def _deal_again(ranges: int) -> Callable:
+    """The second hop: what a group of ranges got, some blocks at a time, by its ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+
+        def dealt() -> pa.RecordBatch:
+            table, document, place, first, second = _unpacked(held)
+            held.clear()
+            return _messages([*_by_range(table, document, place, first, second, _range_of(first, ranges))])
+
+        for batch in batches:
+            bucket = batch["bucket"].to_numpy()
+            known = pa.array(bucket < 0)
+            if known.true_count:
+                yield batch.filter(known)
+            for k, blob in zip(bucket.tolist(), batch["payload"].to_pylist(), strict=True):
+                if k >= 0:
+                    held.append(blob)
+                    size += len(blob)
+                    if size >= BLOCK_WORDS * HASH_BYTES:
+                        yield dealt()
+                        size = 0
+        if held:
+            yield dealt()
 
     return run
 
@@ -199,24 +274,16 @@ def _find_repeats(targets: int) -> Callable:
 
 
 def _repeats_of(blobs: list[bytes], targets: int) -> Iterator[tuple[int, bytes]]:
-    parts = [decode_places(blob) for blob in blobs]
-    tables = np.concatenate([p[0] for p in parts])
-    document = np.repeat(np.arange(len(tables), dtype=np.int32), np.concatenate([p[1] for p in parts]))
-    place = np.concatenate([p[2] for p in parts])
-    raw = np.zeros((len(place), 8), np.uint8)
-    raw[:, :7] = np.concatenate([np.frombuffer(blob, np.uint8, offset=p[3]).reshape(-1, 7) for blob, p in zip(blobs, parts, strict=True)])
-    hashes = raw.view(np.uint64).ravel()
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order[1:]] == hashes[order[:-1]]
-    shared = np.zeros(len(order), bool)  # only hashes that more than one entry has go on
-    shared[1:] |= same
-    shared[:-1] |= same
-    order = order[shared]
+    tables, document, place, first, second = _unpacked(blobs)
+    order, fresh = _ordered(first, second)
+    shared = ~fresh  # only hashes that more than one entry has go on
+    shared[:-1] |= ~fresh[1:]
+    order, fresh = order[shared], fresh[shared]
     if not len(order):
         return
-    hashes, document, place = hashes[order], document[order], place[order]
+    document, place = document[order], place[order]
     owner = tables[document, 0]
-    starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    starts = np.flatnonzero(fresh)
     least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(owner))))
     covered = owner > least
     if covered.any():
@@ -224,7 +291,7 @@ def _repeats_of(blobs: list[bytes], targets: int) -> Iterator[tuple[int, bytes]]
 
 
 def _assemble(width: int) -> Callable:
-    """Gather the replies of each document: (doc_id, text_key, spans), spans the maximal removal intervals."""
+    """Gather the replies of each row: (doc_id, __no, spans), spans the maximal removal intervals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, places = [], []
@@ -249,24 +316,28 @@ def _assemble(width: int) -> Callable:
         for at in range(0, len(heads), 10_000):
             some = range(at, min(at + 10_000, len(heads)))
             rows = table[heads[some.start : some.stop]]
-            yield pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array([spans[cuts[d] : cuts[d + 1]].tobytes() for d in some], pa.binary())], ["doc_id", "text_key", "spans"])
+            yield pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array([spans[cuts[d] : cuts[d + 1]].tobytes() for d in some], pa.binary())], ["doc_id", "__no", "spans"])
 
     return run
 
 
-def _cut(with_text: bool) -> Callable:
-    """(doc_id, text, spans) to the digest columns; a document without spans stays whole."""
+def _cut(with_text: bool, path: str) -> Callable:
+    """(doc_id, text, __no) to the digest columns; a document without spans stays whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, table = with_notes(batch["__no"].to_numpy(), path, held)
             out = defaultdict(list)
-            for text, spans in zip(bytes_of(batch["text"]), batch["spans"].to_pylist(), strict=True):
+            for text, k in zip(bytes_of(batch["text"]), found.tolist(), strict=True):
                 words = text.split()
                 n = len(words)
                 kept = words
-                if spans:
+                if k >= 0:
                     change = np.zeros(n + 1, np.int32)
-                    for first, end in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
+                    for first, end in np.frombuffer(table["spans"][k].as_py(), np.int32).reshape(-1, 2).tolist():
                         change[first] += 1
                         change[end] -= 1
                     stays = np.cumsum(change[:n]) == 0
@@ -279,31 +350,28 @@ def _cut(with_text: bool) -> Callable:
                     out["kept_text"].append(text.decode("utf-8", "replace"))
             types = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if with_text else {})
             yield pa.record_batch([batch["doc_id"], *(pa.array(out[c], t) for c, t in types.items())], ["doc_id", *types])
+        finish_notes(held)
 
     return run
 
 
-def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, spans) of the documents with repeated windows."""
+def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, task_windows: int = TASK_WINDOWS, fan: int = FAN, word_hashes: Callable = WordHashes) -> DataFrame:
+    """(doc_id, __no, spans) of the rows with repeated windows; __no is the row's number."""
     spark = session(docs)
     base = identified(docs, id_col, text_col)
     letters = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(1 << 16, max(shuffle_partitions(spark), -(-letters // 6 // TASK_WINDOWS)))  # a word has about six bytes; more or fewer only change the size of tasks
-    sent = base.mapInArrow(_hash_windows(width, buckets), MESSAGE).repartition(buckets, "bucket")
-    replies = sent.mapInArrow(_find_repeats(buckets), MESSAGE).repartition(buckets, "bucket")
-    return replies.mapInArrow(_assemble(width), "doc_id long, text_key long, spans binary")
-
-
-def _text_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [xxhash.xxh64_intdigest(t) >> 1 for t in bytes_of(batch["text"])]
-        yield pa.record_batch([batch["doc_id"], batch["text"], pa.array(keys, pa.int64())], ["doc_id", "text", "text_key"])
+    ranges = max(shuffle_partitions(spark), -(-letters // 6 // task_windows))  # a word has about six bytes; more or fewer only change the size of tasks
+    groups = min(ranges, fan)
+    sent = numbered(base).mapInArrow(_hash_windows(width, ranges, groups, word_hashes), MESSAGE).repartition(groups, "bucket")
+    if groups < ranges:
+        sent = sent.mapInArrow(_deal_again(ranges), MESSAGE).repartition(ranges, "bucket")
+    replies = sent.mapInArrow(_find_repeats(ranges), MESSAGE).repartition(ranges, "bucket")
+    return replies.mapInArrow(_assemble(width), "doc_id long, __no long, spans binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
     session(docs)
-    covered = removal_intervals(docs, id_col, text_col, width).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "spans")
-    rows = identified(docs, id_col, text_col).mapInArrow(_text_key, "doc_id long, text string, text_key long")
-    joined = rows.join(covered, (rows["doc_id"] == covered["__id"]) & (rows["text_key"] == covered["__key"]), "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    docs = stable(docs)
+    path = write_notes(removal_intervals(docs, id_col, text_col, width), "__no", "spans")
+    return numbered(identified(docs, id_col, text_col)).mapInArrow(_cut(with_text, path), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -8,7 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillstack.llm.simhash import bucket_links, deletion_keys, fingerprint, keep_representatives, near_duplicates, near_groups
+from quillstack.llm.components import connected_components
+from quillstack.llm.simhash import bucket_links, deletion_keys, fingerprint, keep_representatives, near_duplicates, near_groups, split_hot
 
 from .helpers import WORDS, awkward, frame
 
@@ -83,6 +84,37 @@ def test_groups_over_random_fingerprints(spark):
     assert got == {p: least[root[p]] for p in set(prints)}
 
 
+def test_hot_keys_are_split_and_lose_no_pair(spark):
+    """Thousands of fingerprints around one: every key is hot, and the components are those of all pairs."""
+    rng = random.Random(8)
+    prints = {rng.getrandbits(64) for _ in range(20)}
+    centre = rng.getrandbits(64)
+    for _ in range(3000):
+        p = centre
+        for bit in rng.sample(range(64), rng.randint(1, 9)):
+            p ^= 1 << bit
+        prints.add(p)
+    rows = [(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(sorted(prints))]
+    array = np.array(sorted(prints), np.uint64)
+    u, v = bucket_links(np.zeros(len(array), np.int32), array, 4)
+    root = dict(zip(u.tolist(), v.tolist(), strict=True))
+    least = {}
+    for k, p in enumerate(sorted(prints)):
+        least.setdefault(root.get(p, p), k)
+    frame_ = spark.createDataFrame(rows, "doc_id long, fp long")
+    variants = frame_.select(F.explode(deletion_keys()).alias("key"), "fp")
+    split = split_hot(variants, frame_, len(rows), hot_key=64)
+    assert variants.groupBy("key").count().agg(F.max("count")).first()[0] > 2 * split.groupBy("key").count().agg(F.max("count")).first()[0]
+    got = {r.fp % (1 << 64): r.component_id for r in near_groups(frame_, hot_key=64).collect()}
+    assert got == {p: least[root.get(p, p)] for p in prints}
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    edges = [(1, k) for k in range(2, 400)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, 2001), (2001, 2000)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(2, 400), 1) | dict.fromkeys(range(1001, 1061), 1000) | {2001: 2000}
+
+
 def test_every_close_pair_shares_a_key(spark):
     rng = random.Random(4)
     rows = []
@@ -108,5 +140,7 @@ def test_representatives_and_empty(spark):
     docs = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, "quite other words in this text")])
     out = keep_representatives(docs)
     assert out.schema == docs.schema
-    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "None"]
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3"]
+    repeated = frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (2, "quite other words in this text"), (None, "x y z"), (None, "x y z")])
+    assert sorted(str(r.doc_id) for r in keep_representatives(repeated).collect()) == ["1", "2", "None"]  # one row of each of the three groups
     assert near_duplicates(frame(spark, [])).count() == 0

@@ -3,11 +3,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillstack.llm import substring_dedup
-from quillstack.llm.substring_dedup import RollingHash, decode_places, encode_places, remove_repeats
+from quillstack.llm.common import stable, without_rows
+from quillstack.llm.substring_dedup import RollingHash, WordHashes, _task_of, decode_places, encode_places, removal_intervals, remove_repeats
 
 from .helpers import WORDS, awkward, frame
 
@@ -37,6 +40,43 @@ def test_matches_brute_force(spark):
         assert sorted(got) == sorted(brute(rows, width))
 
 
+class FirstHalfCollides(WordHashes):
+    """All words have one value in the first half: all windows have one first hash."""
+
+    def __missing__(self, word):
+        value = self[word] = (7, super().__missing__(word)[1])
+        return value
+
+
+def intervals(spark, rows, **options):
+    found = removal_intervals(frame(spark, rows, 4), width=5, **options).collect()
+    return sorted((r.doc_id, np.frombuffer(r.spans, np.int32).tolist()) for r in found)
+
+
+def test_forced_collisions_and_two_hops_change_nothing(spark):
+    rows = awkward() + [(300 + k, "shared " * 12 + f"tail {k}") for k in range(40)]
+    plain = intervals(spark, rows)
+    assert plain
+    assert intervals(spark, rows, word_hashes=FirstHalfCollides) == plain
+    assert intervals(spark, rows, task_windows=100, fan=4) == plain  # a few hundred ranges in two hops
+
+
+def test_replies_of_copies_are_spread():
+    numbers = np.concatenate([(np.int64(part) << 33) + np.arange(100) for part in range(100)])  # 10,000 rows of one text, a hundred a task
+    load = np.bincount(_task_of(numbers, 64), minlength=64)
+    assert load.min() > 100 and load.max() < 220
+
+
+def test_a_changed_table_is_an_error(spark, tmp_path):
+    base = stable(frame(spark, [(k, "a b c d e f") for k in range(20)], 2))
+    assert base is not None and stable(base) is base and stable(base.select("doc_id").where("doc_id > 1")).inputFiles() == base.inputFiles()
+    rows = base.select("doc_id", "text").withColumn("__no", F.monotonically_increasing_id())
+    missing = rows.select("doc_id", (F.col("__no") + 5).alias("__no"))
+    with pytest.raises(Exception, match="met no row"):
+        without_rows(base, missing, "drops").count()
+    assert sorted(r.doc_id for r in without_rows(base, rows.where("doc_id % 3 = 0"), "drops").collect()) == [k for k in range(20) if k % 3]
+
+
 def test_text_and_empty(spark):
     rows = [(1, "a b c d"), (2, "x a b c y")]
     got = {r.doc_id: r.kept_text for r in remove_repeats(frame(spark, rows), width=3).collect()}
