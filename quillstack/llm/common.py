@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,17 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
+def send_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver to the executors; returns the name that received takes."""
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
+
+
+def received(name: str) -> str:
+    """Where a sent file is on this executor."""
+    return SparkFiles.get(name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,15 +9,19 @@ The labelled pages are made by ``labelled_pages``: page layouts of many kinds (a
 threads, side bars, notices, forms), whose blocks are labelled as they are written. Every process makes the same pages from one seed.
 
 Defined cases: null and empty html give an empty text; pages without markup are one block; unclosed and stray tags are closed the way
-browsers do for paragraphs, list items and table cells; scripts, noscript, styles, templates, form controls, svg, iframes and the
-head are never text, and a head left open ends at the first tag or text that can't stand in it; formulas are part of their sentence, and
-fallback text of objects, canvas, audio and video is a block that the chain labels; rows that repeat a page_id are extracted each; an empty table gives no rows; other columns are ignored.
+browsers do for paragraphs, list items and table cells; scripts, styles, templates, form controls, drawings (svg) and the
+head are never text, a head left open ends at the first tag or text that can't stand in it and a drawing at the first tag of ordinary markup; formulas
+are part of their sentence, and fallback text of noscript, iframes, objects, canvas, audio and video is a block that the chain labels; white space is
+what Unicode calls so, no-break spaces included; pages of any length and depth take time in proportion (a block's ancestors are carried down
+the tree, class names that the chain does not know are counted only); rows that repeat a page_id are extracted each; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from html import escape
@@ -30,15 +34,17 @@ from pyspark.sql import functions as F
 
 from .common import session, texts_of
 
-SKIPPED = frozenset("script style noscript template head title svg iframe select textarea button datalist".split())
+SKIPPED = frozenset("script style template head title svg select textarea button datalist".split())
 #: What can stand in a head; any other tag, or text, ends it.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Their fallback text is a block of its own.
-FALLBACK = frozenset("object audio video canvas".split())
+FALLBACK = frozenset("object audio video canvas noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Tags that end a drawing left open.
+ORDINARY = BLOCKS | frozenset("b big br code em embed font i img nobr s small span strike strong sub sup tt u var".split())
 #: Tags that end an open paragraph.
 CLOSES_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr legend summary".split())
 #: An opening tag ends these open ones, up to the scope's tags.
@@ -56,20 +62,44 @@ REGIONS = frozenset("article main section nav header footer aside form dialog fi
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Place:
+    """An open tag and what it hands down: the innermost block and region, the block tags, and the names of classes, ids and roles above a block."""
+
+    __slots__ = ("tag", "inner", "near", "kinds", "names", "few")
+
+    def __init__(self, tag: str, names: list[str], above: Place | None, known: frozenset[str] | None):
+        self.tag = tag
+        self.inner = tag if tag in BLOCKS else above.inner if above else ""
+        self.near = tag if tag in REGIONS else above.near if above else ""
+        kinds, over, few = (above.kinds, above.names, above.few) if above else (frozenset(), {}, ())
+        self.kinds = kinds if tag in kinds or tag not in BLOCKS or tag in ("html", "body") else kinds | {tag}
+        for name in names:
+            if len(few) < 3 and name not in few:
+                few = (*few, name)
+        new = [n for n in names if n not in over and (known is None or n in known)]
+        self.names = over | dict.fromkeys(new) if new else over  # of known names at most
+        self.few = few
+
+
+TOP = Place("", [], None, None)
+
+
 class Block:
-    __slots__ = ("text", "tags", "names", "own", "linked", "breaks")
+    __slots__ = ("text", "place", "linked")
 
-    def __init__(self, text: str, tags: tuple[str, ...], names: tuple[str, ...], linked: int):
-        self.text, self.tags, self.names, self.linked = text, tags, names, linked
+    def __init__(self, text: str, place: Place, linked: int):
+        self.text, self.place, self.linked = text, place, linked
 
 
 class BlockParser(HTMLParser):
-    """Blocks of a page, in order."""
+    """Blocks of a page, in order. known: the names that matter; all if not given."""
 
-    def __init__(self):
+    def __init__(self, known: frozenset[str] | None = None):
         super().__init__(convert_charrefs=True)
+        self.known = known
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[Place] = []
+        self.open: Counter[str] = Counter()
         self.text: list[str] = []
         self.linked = self.skip = self.links = self.fallbacks = 0
         self.inside = False
@@ -79,14 +109,15 @@ class BlockParser(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                tags = tuple(t for t, _ in self.stack[:depth])
-                names = tuple(dict.fromkeys(n for _, some in self.stack[:depth] for n in some))
-                self.blocks.append(Block(text, tags, names, self.linked))
+                at = len(self.stack) if depth is None else depth
+                self.blocks.append(Block(text, self.stack[at - 1] if at else TOP, self.linked))
             self.text.clear()
             self.linked = 0
 
     def pop(self, at: int) -> None:
-        for tag, _ in self.stack[at:]:
+        for place in self.stack[at:]:
+            tag = place.tag
+            self.open[tag] -= 1
             self.skip -= tag in SKIPPED
             self.links -= tag == "a"
             self.fallbacks -= tag in FALLBACK
@@ -94,17 +125,19 @@ class BlockParser(HTMLParser):
         self.inside &= self.fallbacks > 0
 
     def end_head(self) -> None:
-        while self.stack and self.stack[-1][0] == "head":
+        while self.stack and self.stack[-1].tag == "head":
             self.pop(len(self.stack) - 1)
 
     def implied(self, ends: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        if not any(self.open[tag] for tag in ends):
+            return
         for at in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[at][0]
+            tag = self.stack[at].tag
             if tag in scope:
                 return
             if tag in ends:
                 last = at
-                while last and self.stack[last - 1][0] in ends:
+                while last and self.stack[last - 1].tag in ends:
                     last -= 1
                 self.flush()
                 self.pop(last)
@@ -113,6 +146,8 @@ class BlockParser(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in IN_HEAD:
             self.end_head()
+        if self.open["svg"] and tag in ORDINARY:
+            self.pop(next(at for at in range(len(self.stack) - 1, -1, -1) if self.stack[at].tag == "svg"))
         if tag == "br" or tag == "wbr":
             self.text.append(" " if tag == "br" else "")
             return
@@ -126,8 +161,9 @@ class BlockParser(HTMLParser):
             self.pop(0)
         if tag in VOID:
             return
-        names = tuple(w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in NAME.findall(v)) if attrs else ()
-        self.stack.append((tag, names))
+        names = [w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in NAME.findall(v)] if attrs else []
+        self.stack.append(Place(tag, names, self.stack[-1] if self.stack else None, self.known))
+        self.open[tag] += 1
         self.skip += tag in SKIPPED
         self.links += tag == "a"
         self.fallbacks += tag in FALLBACK
@@ -138,29 +174,28 @@ class BlockParser(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                if tag in BLOCKS or any(t in BLOCKS or self.inside and t in FALLBACK for t, _ in self.stack[at:]):
-                    self.flush()
-                self.pop(at)
-                return
-        if tag in BLOCKS:
+        if self.open[tag]:
+            at = next(at for at in range(len(self.stack) - 1, -1, -1) if self.stack[at].tag == tag)
+            if tag in BLOCKS or any(p.tag in BLOCKS or self.inside and p.tag in FALLBACK for p in self.stack[at:]):
+                self.flush()
+            self.pop(at)
+        elif tag in BLOCKS:
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if self.skip and self.stack[-1][0] == "head" and data.strip():
+        if self.skip and self.stack[-1].tag == "head" and data.strip():
             self.end_head()
         if not self.skip:
             if self.fallbacks and not self.inside and data.strip():
-                self.flush(next(at for at, (tag, _) in enumerate(self.stack) if tag in FALLBACK))
+                self.flush(next(at for at, place in enumerate(self.stack) if place.tag in FALLBACK))
                 self.inside = True
             self.text.append(data)
             if self.links:
                 self.linked += len(data)
 
 
-def blocks_of(html: str) -> list[Block]:
-    parser = BlockParser()
+def blocks_of(html: str, known: frozenset[str] | None = None) -> list[Block]:
+    parser = BlockParser(known)
     parser.feed(html)
     parser.close()
     parser.flush()
@@ -177,12 +212,10 @@ def features(blocks: list[Block]) -> list[list[str]]:
     n = len(blocks)
     for k, block in enumerate(blocks):
         words = block.text.count(" ") + 1
-        found = ["bias", f"leaf={block.tags[-1] if block.tags else ''}"]
-        inner = next((t for t in reversed(block.tags) if t in BLOCKS), "")
-        near = next((t for t in reversed(block.tags) if t in REGIONS), "")
-        found += [f"block={inner}", f"near={near}", f"near={near}/{inner}", f"depth={near}/{min(3, len(block.names))}"]
-        found += [f"in={t}" for t in set(block.tags) if t in BLOCKS and t not in ("html", "body")]
-        found += [f"name={w}" for w in block.names]
+        place = block.place
+        found = ["bias", f"leaf={place.tag}", f"block={place.inner}", f"near={place.near}", f"near={place.near}/{place.inner}", f"depth={place.near}/{len(place.few)}"]
+        found += [f"in={t}" for t in place.kinds]
+        found += [f"name={w}" for w in place.names]
         found.append(f"words={min(6, words.bit_length())}")
         share = block.linked / len(block.text)
         found.append(f"links={0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}")
@@ -207,6 +240,7 @@ class Chain:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, pair: np.ndarray):
         self.index, self.weights, self.pair = index, weights, pair
+        self.names = frozenset(name[5:] for name in index if name.startswith("name="))
         self.table = {name: (float(weights[i, 0]), float(weights[i, 1])) for name, i in index.items()}
 
     def decode(self, rows: list[list[str]]) -> list[int]:
@@ -488,7 +522,7 @@ def trained(n: int = 700, seed: int = 11) -> Chain:
 
 
 def main_text(html: str, chain: Chain) -> str:
-    blocks = blocks_of(html)
+    blocks = blocks_of(html, chain.names)
     return "\n".join(b.text for b, label in zip(blocks, chain.decode(features(blocks)), strict=True) if label)
 
 

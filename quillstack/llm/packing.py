@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import cache_of
-from .common import identified, materialize, session, texts_of
+from .common import identified, materialize, received, send_file, session, texts_of
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -53,7 +53,7 @@ def cut_points(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _tokenize(tokenizer: str, capacity: int, end_token: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = cache_of(tokenizer)
+        encode = cache_of(received(tokenizer))
         end = int(end_token).to_bytes(4, "little")
         context = TaskContext.get()
         part = context.partitionId() if context else 0
@@ -344,7 +344,7 @@ def _place(table: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Calla
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_token: int = END_TOKEN, rounds: int = ROUNDS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     session(docs)
-    pieces = materialize(identified(docs, id_col, text_col).mapInArrow(_tokenize(tokenizer, capacity, end_token), PIECES), "pieces")
+    pieces = materialize(identified(docs, id_col, text_col).mapInArrow(_tokenize(send_file(docs.sparkSession, tokenizer), capacity, end_token), PIECES), "pieces")
     counts = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # one row per length, at most capacity

@@ -1,9 +1,9 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass finds anchors: at-signs, plus signs, digits, URL schemes, and cues of identifiers (IBAN, SSN, account words).
+One Aho-Corasick pass finds anchors: at-signs, plus signs, digits, URL schemes, and cues of identifiers (IBAN, SSN, account words, names of credentials).
 Each anchor starts a deterministic parser that expands to the boundaries of what may stand there and validates it: email address,
 IPv4 address, payment card (Luhn), telephone number; and, beyond the base kinds, IBAN (mod 97), social security number, account number
-after its cue, and credentials inside a URL.
+after its cue, credentials inside a URL, and the value that a credential's name (password, token, key) gives or an access key's own prefix opens.
 
 A parser never reads what an earlier match of its kind has consumed, so base kinds are leftmost and non-overlapping exactly as
 the patterns of the contract say (tests hold them against these patterns).
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import identified, session, texts_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn", "account", "login")
+KINDS = (*BASE_KINDS, "iban", "ssn", "account", "login", "credential")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -36,7 +36,9 @@ IBAN = re.compile(r"[\x20:#=]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za
 SSN = re.compile(r"[\x20:#=]*((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9-])")
 ACCOUNT = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|#))?[\x20:#=]{1,3}([0-9](?:[\x20-]?[0-9]){5,19})(?![0-9])", re.IGNORECASE)
 LOGIN = re.compile(r"([^\s/@:]+:[^\s/@]+)@[A-Za-z0-9.-]+")
-CUES = {"iban": ("IBAN", "Iban", "iban"), "ssn": ("SSN", "ssn"), "account": ("account", "Account", "acct", "Acct", "Konto", "konto", "cuenta", "compte"), "login": ("://",)}
+CREDENTIAL = re.compile(r"""["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9+/_.=-]{8,})""")
+ACCESS = re.compile(r"[A-Z0-9]{12,}")
+CUES = {"iban": ("IBAN", "Iban", "iban"), "ssn": ("SSN", "ssn"), "account": ("account", "Account", "acct", "Acct", "Konto", "konto", "cuenta", "compte"), "login": ("://",), "credential": tuple(f(w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey") for f in (str, str.upper, str.capitalize)), "access": ("AKIA",)}
 
 
 @cache
@@ -115,6 +117,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
         elif kind == "account":
             if m := ACCOUNT.match(text, at + 1):
                 found.append((*m.span(1), "account"))
+        elif kind == "credential":
+            if m := CREDENTIAL.match(text, at + 1):
+                found.append((*m.span(1), "credential"))
+        elif kind == "access":
+            if m := ACCESS.match(text, at + 1):
+                found.append((at - 3, m.end(), "credential"))
         elif m := LOGIN.match(text, at + 1):
             found.append((*m.span(1), "login"))
     return sorted(found, key=lambda s: (KINDS.index(s[2]), s[0]))
@@ -130,13 +138,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in zip(batch["doc_id"].to_pylist(), texts_of(batch["text"]), strict=True):
             spans = find(text)
             base = [s for s in spans if s[2] in BASE_KINDS]
-            rows.append((doc_id, *(sum(s[2] == kind for s in base) for kind in BASE_KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = [*zip(*rows, strict=True)] or [()] * 7
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
+            rows.append((doc_id, *(sum(s[2] == kind for s in base) for kind in BASE_KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), len(spans)))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        columns = [*zip(*rows, strict=True)] or [()] * 9
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_other", "n_all"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_other (added spans), n_all."""
     session(docs)
-    return identified(docs, id_col, text_col).mapInArrow(_scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return identified(docs, id_col, text_col).mapInArrow(_scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_other long, n_all long")

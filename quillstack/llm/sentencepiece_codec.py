@@ -2,14 +2,16 @@
 
 An Aho-Corasick automaton over the pieces reads a text once. At each position it stands at the longest piece-prefix that ends
 there; following output links gives every piece that ends there, longest first, and each relaxes the best path of the position.
-What "best" means is the model's: for a unigram model the largest sum of scores; for a BPE model the one segmentation that the
-merges produce, which is the path in which every two neighbours stay apart when merged on their own (pieces' scores order the
-merges). Characters that no piece covers become byte pieces, or the unknown piece.
+What "best" means is the model's: for a unigram model the largest sum of scores, relaxed at each position; for a BPE model the one segmentation that
+the merges produce, which is the path in which every two neighbours stay apart when merged on their own (pieces' scores order the
+merges). No sum of scores has that path as its best, so for BPE models (the registered query's is one) the relaxation is replaced: the first
+match, longest first, that stays apart from the piece before it is the position's. Characters that no piece covers become byte pieces, or the unknown piece.
 
 White space never joins what stands before it to it (no piece has the marker after another character; the model is asked), so
 a text is encoded part by part and parts are remembered.
 
-Defined cases: null and empty texts have no ids and decode to the empty text; texts of any length are encoded whole.
+Defined cases: null and empty texts have no ids and decode to the empty text; texts of any length are encoded whole; rows that repeat a doc_id are
+encoded each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import identified, session, texts_of
+from .common import identified, received, send_file, session, texts_of
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -275,9 +277,9 @@ def codec_of(path: str) -> Codec:
     return Codec(path)
 
 
-def _round_trip(path: str, with_ids: bool):
+def _round_trip(name: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path)
+        codec = codec_of(received(name))
         table = [codec.decode([i]).encode() if codec.kinds[i] not in (NORMAL, USER, BYTE) else bytes([int(p[3:5], 16)]) if codec.kinds[i] == BYTE else p.replace(MARK, " ").encode() for i, p in enumerate(codec.pieces)]
         for batch in batches:
             rows = []
@@ -298,4 +300,4 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     """One row per document: doc_id, n_tokens, ids_crc32 (little-endian 32-bit ids), whether they decode to the text, decoded_crc32, ids if asked for."""
     session(docs)
     schema = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, decoded_crc32 long" + ", ids array<int>" * with_ids
-    return identified(docs, id_col, text_col).mapInArrow(_round_trip(model, with_ids), schema)
+    return identified(docs, id_col, text_col).mapInArrow(_round_trip(send_file(docs.sparkSession, model), with_ids), schema)

@@ -7,8 +7,8 @@ linked; each candidate is verified on the whole fingerprints. A bucket gives a s
 all of its pairs; the forests of all buckets go through distributed connected components.
 
 Equal fingerprints are collapsed first, so a group of copies is one node however large it is. A key that many fingerprints share (a large group of
-near copies) is split before the shuffle: two of its fingerprints within the distance agree in one of five pieces of the 64 bits, so each goes
-under its five pieces, and no pair is lost. Such keys are found on every 64th fingerprint by hash; which keys are split changes no result.
+near copies) is split before the shuffle: two of its fingerprints within the distance agree in one of five pieces of the bits that the key leaves out, so
+each goes under its five pieces, and no pair is lost. Such keys are found on every 64th fingerprint by hash; which keys are split changes no result.
 
 Defined cases: null and empty texts, and texts of white space only, have fingerprint zero and link like any other; a null
 doc_id is never a component's smallest unless all its ids are null (then component_id is null); repeated rows give a row
@@ -38,7 +38,8 @@ SMALL_BUCKET = 48
 BLOCK = 2048
 #: Keys of more fingerprints than this, and than this share of all entries, are split; one fingerprint in so many is looked at to find them.
 HOT_KEY, HOT_SHARE, LOOKED_AT = 4 * BLOCK, 10_000, 64
-PIECES = (0, 13, 26, 39, 52, 64)
+#: First bits of the five pieces of what a key leaves out (43 bits at most).
+PIECES = (0, 9, 18, 27, 35, 43)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -166,7 +167,13 @@ def split_hot(variants: DataFrame, distinct: DataFrame, n: int, hot_key: int = H
     limit = max(hot_key, 64 * n // HOT_SHARE)
     looked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(LOOKED_AT)) == 0).select(F.explode(deletion_keys()).alias("hot"))
     hot = looked.groupBy("hot").agg(F.count("*").alias("__n")).where(F.col("__n") > max(1, limit // LOOKED_AT)).select("hot")  # HOT_SHARE rows or so at most
-    pieces = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << high - low) - 1)) for low, high in zip(PIECES, PIECES[1:], strict=False)]
+    place, low, high = F.col("key").bitwiseAND(F.lit(63)), F.col("fp").bitwiseAND(F.lit((1 << SEGMENTS[1]) - 1)), F.shiftrightunsigned("fp", SEGMENTS[2])
+    others = (  # the bits outside the key's segment
+        F.when(place < SEGMENTS[1], F.shiftrightunsigned("fp", SEGMENTS[1]))
+        .when(place < SEGMENTS[2], F.shiftleft(high, SEGMENTS[1]).bitwiseOR(low))
+        .otherwise(F.col("fp").bitwiseAND(F.lit((1 << SEGMENTS[2]) - 1)))
+    )
+    pieces = [F.shiftrightunsigned(others, a).bitwiseAND(F.lit((1 << b - a) - 1)) for a, b in zip(PIECES, PIECES[1:], strict=False)]
     parts = F.array(*[F.xxhash64(F.col("key"), F.lit(k), piece) for k, piece in enumerate(pieces)])
     marked = variants.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")
     return marked.select(F.explode(F.when(F.col("hot").isNull(), F.array(F.col("key").cast("long"))).otherwise(parts)).alias("key"), "fp")

@@ -1,9 +1,14 @@
 from __future__ import annotations
 
+import re
+import time
+from html import unescape
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyarrow import parquet
 
 from quillstack.llm.html_extraction import Chain, blocks_of, extract_text, features, fit, labelled_pages, main_text, trained
 
@@ -87,3 +92,40 @@ def test_formulas_and_fallback_text_are_kept():
     assert texts("<p>One <canvas> </canvas><video><source src=x></video>two.</p><audio>No sound.</audio>") == ["One two.", "No sound."]
     page = ARTICLE.replace("some words", "<math><mi>a</mi><mo>+</mo><mi>b</mi></math>")
     assert main_text(f"<body><article>{page}</article></body>", trained()) == WANT.replace("some words", "a+b")
+
+
+def article_by_rule(page: str) -> str:
+    """Main text of a page with one article element, read with plain patterns: neither the parser nor the chain has a part in it."""
+    inner = re.search(r"(?is)<article[^>]*>(.*)</article>", page)[1]
+    inner = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>|<(aside|nav|footer|form)\b.*?</\2>|<div class=\"?(?:ad|comments?|share|related)\b.*?</div>", "", inner)
+    parts = re.split(r"(?i)</?(?:p|h[1-6]|li|ul|ol|div|blockquote|pre|table|tr|td|section|figure|figcaption|article)\b[^>]*>", inner)
+    texts = (" ".join(unescape(re.sub(r"<[^>]+>", "", re.sub(r"(?i)<br\s*/?>", " ", part))).split()) for part in parts)
+    return "\n".join(t for t in texts if t)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no driver tables")
+def test_agrees_with_an_independent_rule_on_pages_it_never_saw():
+    pages = [row["html"] for row in parquet.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).to_pylist() if len(re.findall("(?i)<article", row["html"])) == 1]
+    assert len(pages) >= 200
+    chain = trained()
+    same = sum(main_text(p, chain) == article_by_rule(p) for p in pages)
+    assert same >= 0.98 * len(pages), (same, len(pages))
+
+
+def test_deep_pages_take_time_in_proportion():
+    def seconds(depth: int) -> float:
+        page = "".join(f'<div class="a{k % 50}">word {k}' for k in range(depth)) + "</div></b>" * depth
+        began = time.perf_counter()
+        blocks = blocks_of(page, frozenset({"content"}))
+        assert len(blocks) == depth and len(features(blocks)) == depth
+        return time.perf_counter() - began
+
+    small = min(seconds(4_000) for _ in range(3))
+    assert seconds(32_000) < 8 * small * 3 + 0.5
+
+
+def test_words_that_only_the_chain_may_drop():
+    assert texts("<p>Let <math><mi>x</mi></math> be here</p>") == ["Let x be here"]
+    assert texts("<p>a <svg><path d=1> <b>rest of it</b></p><p>next</p>") == ["a rest of it", "next"]
+    assert texts("<p>a</p><noscript><p>told without scripts</p></noscript><p>b</p>") == ["a", "told without scripts", "b"]
+    assert texts("<p>a</p><svg><text>label</text></svg><p>b</p>") == ["a", "b"]

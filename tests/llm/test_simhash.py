@@ -85,15 +85,18 @@ def test_groups_over_random_fingerprints(spark):
 
 
 def test_hot_keys_are_split_and_lose_no_pair(spark):
-    """Thousands of fingerprints around one: every key is hot, and the components are those of all pairs."""
+    """Thousands of fingerprints with one segment in common, some of them close: the components are those of all pairs."""
     rng = random.Random(8)
     prints = {rng.getrandbits(64) for _ in range(20)}
-    centre = rng.getrandbits(64)
-    for _ in range(3000):
-        p = centre
-        for bit in rng.sample(range(64), rng.randint(1, 9)):
-            p ^= 1 << bit
-        prints.add(p)
+    for low, size in ((0, 22), (22, 21), (43, 21)):
+        segment = rng.getrandbits(size) << low
+        for _ in range(1000):
+            p = rng.getrandbits(64) & ~(((1 << size) - 1) << low) | segment
+            prints.add(p)
+            for _ in range(rng.choice((0, 0, 2))):
+                for bit in rng.sample(range(64), rng.randint(1, 4)):
+                    p ^= 1 << bit
+                prints.add(p)
     rows = [(k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(sorted(prints))]
     array = np.array(sorted(prints), np.uint64)
     u, v = bucket_links(np.zeros(len(array), np.int32), array, 4)
@@ -103,9 +106,9 @@ def test_hot_keys_are_split_and_lose_no_pair(spark):
         least.setdefault(root.get(p, p), k)
     frame_ = spark.createDataFrame(rows, "doc_id long, fp long")
     variants = frame_.select(F.explode(deletion_keys()).alias("key"), "fp")
-    split = split_hot(variants, frame_, len(rows), hot_key=64)
-    assert variants.groupBy("key").count().agg(F.max("count")).first()[0] > 2 * split.groupBy("key").count().agg(F.max("count")).first()[0]
-    got = {r.fp % (1 << 64): r.component_id for r in near_groups(frame_, hot_key=64).collect()}
+    split = split_hot(variants, frame_, len(rows), hot_key=200)
+    assert variants.groupBy("key").count().agg(F.max("count")).first()[0] > 20 * split.groupBy("key").count().agg(F.max("count")).first()[0]
+    got = {r.fp % (1 << 64): r.component_id for r in near_groups(frame_, hot_key=200).collect()}
     assert got == {p: least[root.get(p, p)] for p in prints}
 
 
