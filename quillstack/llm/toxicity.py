@@ -4,10 +4,11 @@ The kernel compares two words by the four-character subsequences they share, gap
 ``DECAY`` ** s, and the kernel of two words is the normalised sum of products over what they share. A word with inserted characters
 keeps most of its subsequences, a little longer; letters written apart are joined to one word first.
 
-Training, on labelled documents only:
+Training, on labelled documents only (labels are given to documents; what is learned from are the words and windows of their sentences):
 
 1. Words which toxic documents have and others lack (a one-sided binomial test) are positive examples; the words of clean documents are
-   negative ones. Positive words are also shown gapped and with inserted characters.
+   negative ones. Positive words are also shown gapped and with one or two inserted characters. Clean words that were not learned from and look
+   toxic to the first machine are learned by the second.
 2. Landmarks are drawn from the positive words (farthest first in the kernel, so that every family has one) and from frequent clean words.
    Nystroem features are K(L, L)^(-1/2) k(x, L); a linear SVM with squared hinge loss is fitted to them by Newton steps.
 3. A second machine of the same kind learns windows: two to four neighbouring words of a sentence, written together, under the kernel with
@@ -17,9 +18,11 @@ Training, on labelled documents only:
    described by the three best margins of their words and windows (those that hold no toxic word and do not overlap) and by how many reach
    HIT; a logistic function of these, fitted to the documents' labels, gives the score.
 
-Each worker scores a distinct word once. The training sample is bounded by ``MAX_TOXIC`` and ``MAX_CLEAN`` documents.
+Each worker scores a distinct word once. The training sample is bounded by ``MAX_TOXIC`` and ``MAX_CLEAN`` documents of ``MAX_CHARS`` characters in
+all (in hash order of their ids, whole texts only), and of their clean words and windows by ``HEAD`` and ``TAIL``, the most frequent and an even
+sample of the others, to which come all that look toxic.
 
-Defined cases: null and empty texts get the score of a text without words; without labelled toxic rows every score is 0; labels,
+Defined cases: a document with labels of both kinds is toxic; of rows that repeat a labelled doc_id the shortest text is learned from; null and empty texts get the score of a text without words; without labelled toxic rows every score is 0; labels,
 language, source and doc_id never enter a score; rows that repeat a doc_id are scored each; an empty table gives no rows; other columns
 are ignored.
 """
@@ -34,13 +37,14 @@ from itertools import combinations, zip_longest
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import identified, session, texts_of
 
-#: Bounds of the training sample, documents.
-MAX_TOXIC, MAX_CLEAN = 2000, 3000
+#: Bounds of the training sample, documents and characters.
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 3000, 24_000_000
 DECAY = 0.6
 #: Characters of a subsequence. One spans at most so many characters; longer words are scored in windows of LONGEST.
 ORDER, SPAN, LONGEST = 4, 9, 24
@@ -59,6 +63,7 @@ HIT = 0.5
 CUT = 0.7
 WORD = re.compile(r"[^\s.,;:!?\"()\[\]{}|]+(?:[.,;:!?|]+[^\s.,;:!?\"()\[\]{}|]+)*")
 INNER = re.compile(r"[\W_]+")
+RUNS = re.compile(r"(.)\1+", re.DOTALL)
 
 
 def code(character: str) -> int:
@@ -210,16 +215,30 @@ class Stream:
 
 
 def views(word: str) -> list[str]:
-    """What is scored for a word: itself, without inner punctuation too, in overlapping windows if it is long."""
+    """What is scored for a word: itself, without inner punctuation and with one letter for each run of a letter too, in overlapping windows if it is long."""
     inner = INNER.sub("", word)
     found = [word] if inner == word or not inner else [word, inner]
+    if len(single := RUNS.sub(r"\1", inner)) < len(inner):
+        found.append(single)
     return [w[at : at + LONGEST] for w in found for at in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2)]
 
 
+LETTERS = "etaoinshrdlucmfwypvbgkjqxz"
+
+
 def gapped(word: str) -> list[str]:
     """The same word with characters inserted."""
-    middle = len(word) // 2
-    return ["".join(c + "." for c in word)[:LONGEST], word[:middle] + "*" + word[middle:], word[:1] + "-" + word[1:], word[:middle] + word[middle : middle + 1] + word[middle:]]
+    middle, k = len(word) // 2, sum(map(ord, word))
+    pair = LETTERS[k % 26] + LETTERS[(k // 7 + 11) % 26]
+    return [
+        *views("".join(c + "." for c in word))[:1],
+        word[:middle] + "*" + word[middle:],
+        word[:1] + "-" + word[1:],
+        word[:middle] + word[middle : middle + 1] + word[middle:],
+        word[:2] + pair + word[2:],
+        word[:-2] + pair[0] * 2 + word[-2:],
+        word[:middle] + "xx" + word[middle:],
+    ]
 
 
 class Machine:
@@ -314,17 +333,20 @@ def toxic_words(documents: list[tuple[list[str], int]]) -> tuple[list[tuple[str,
 
 
 def farthest_first(words: list[str], n: int, span: int = SPAN) -> list[str]:
-    """Landmarks that cover the words: each next one is the word least like those chosen."""
-    words = words[:1500]
+    """Landmarks that cover the words: each next one is, of all words, one least like those chosen (looked for some at a time)."""
     if len(words) <= n:
         return words
-    near = kernel(words, words, span)
     chosen = [0]
-    like = near[:, 0].copy()
+    like = kernel(words, words[:1], span)[:, 0]
     while len(chosen) < n:
-        k = int(like.argmin())
-        chosen.append(k)
-        like = np.maximum(like, near[:, k])
+        far = np.argsort(like, kind="stable")[:8]
+        limit = like[far[-1]]
+        near = kernel(words, [words[k] for k in far], span)
+        for column, k in enumerate(far.tolist()):
+            if len(chosen) < n and (column == 0 or like[k] <= limit):
+                chosen.append(k)
+                like = np.maximum(like, near[:, column])
+        like[chosen] = np.inf
     return [words[k] for k in chosen]
 
 
@@ -375,26 +397,69 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int =
     return w
 
 
+def collapsed(samples: list[tuple[str, int]]) -> tuple[list[tuple[str, int]], np.ndarray]:
+    """Samples without copies and near copies of one label, and how many each stands for: words of a text that was copied are not evidence each time.
+
+    A sample joins an earlier one with which it shares one of the two least hashes of its three-word shingles.
+    """
+    kept: list[tuple[str, int]] = []
+    size: list[int] = []
+    seen: dict[tuple[int, int], int] = {}
+    for text, label in samples:
+        words = (text or "").encode().split()
+        hashes = {xxhash.xxh64_intdigest(b" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))}
+        keys = [(label, h) for h in sorted(hashes)[:2]]
+        at = next((seen[k] for k in keys if k in seen), None)
+        if at is None:
+            at = len(kept)
+            kept.append((text or "", label))
+            size.append(0)
+        size[at] += 1
+        for k in keys:
+            seen.setdefault(k, at)
+    return kept, np.array(size, float)
+
+
 def train(samples: list[tuple[str, int]], rates: tuple[float, float] = (1.0, 1.0)) -> Machine:
     """Fit on (text, label) rows; rates: how many rows of the corpus a sampled clean and a sampled toxic row stand for."""
-    documents = [(words_in(t or ""), int(label)) for t, label in samples]
+    samples, copies = collapsed(samples)
+    documents = [(words_in(t), int(label)) for t, label in samples]
     positive, clean = toxic_words(documents)
     if not positive:
         return Machine(np.zeros(SLOTS, np.float32), -1.0, (0.0, 0.0, 0.0, 0.0, -30.0))
-    support = dict(reversed([(w[:LONGEST], n) for w, n in positive]))
-    positive = list(dict.fromkeys(w[:LONGEST] for w, _ in positive))
-    chosen = set(positive)
-    negative = [w[:LONGEST] for w, _ in clean.most_common() if len(w) >= 2 and w not in chosen]
+    support: dict[str, int] = {}
+    for word, n in positive:
+        for view in views(word):
+            support.setdefault(view, n)
+    positive = [*support]
+    every = Counter()
+    for word, n in clean.items():
+        if len(word) >= 2:
+            for view in views(word):
+                if view not in support:
+                    every[view] += n
+    negative = [w for w, _ in every.most_common()]
     step = max(1, (len(negative) - HEAD) // TAIL)
-    negative = negative[:HEAD] + negative[HEAD::step]
+    learned = negative[:HEAD] + negative[HEAD::step]
+    share = [1.0] * min(HEAD, len(negative)) + [float(min(step, 12))] * (len(learned) - min(HEAD, len(negative)))
     landmarks = farthest_first(positive, LANDMARKS)
     variants = [v for w in landmarks[:VARIED] if len(w) >= 4 for v in gapped(w)]
-    words = positive + variants + negative
-    y = np.array([1.0] * (len(positive) + len(variants)) + [-1.0] * len(negative))
-    # a clean word counts by its documents, so that short frequent ones are not taken for the stems they begin (and a rare one for those left out)
-    # and a toxic one by its own
-    cost = np.concatenate((3 * np.sqrt([min(400, support[w]) for w in positive]), np.full(len(variants), 1.5), 1.0 * np.sqrt([min(400, 1 + clean[w]) for w in negative]) * np.where(np.arange(len(negative)) < HEAD, 1, min(step, 12))))
-    table, bias = fit_table(words, y, cost, landmarks, negative)
+    for again in (True, False):
+        words = positive + variants + learned
+        y = np.array([1.0] * (len(positive) + len(variants)) + [-1.0] * len(learned))
+        # a clean word counts by its documents, so that short frequent ones are not taken for the stems they begin (and a rare one for those left out)
+        # and a toxic one by its own
+        cost = np.concatenate((3 * np.sqrt([min(400, support[w]) for w in positive]), np.full(len(variants), 1.5), np.sqrt([min(400, 1 + every[w]) for w in learned]) * share))
+        table, bias = fit_table(words, y, cost, landmarks, learned)
+        if again:  # the other clean words that look toxic are learned too
+            known = set(learned)
+            others = [w for w in negative if w not in known]
+            margins = Machine(table, bias, ()).margins(others)
+            harder = [w for w, m in zip(others, margins, strict=True) if m > -0.3]
+            if not harder:
+                break
+            learned = harder + learned
+            share = [1.0] * len(harder) + share
     machine = Machine(table, bias, ())
     machine.windows = train_windows(samples, positive, machine)
     described = []
@@ -405,7 +470,7 @@ def train(samples: list[tuple[str, int]], rates: tuple[float, float] = (1.0, 1.0
         described += [machine.describe(words, hits) for words, hits in zip(some, more, strict=True)]
     described = np.array(described)
     labels = np.array([label for _, label in documents], float)
-    weight = np.where(labels > 0, rates[1], rates[0])
+    weight = np.where(labels > 0, rates[1], rates[0]) * copies
     use = np.ones(described.shape[1], bool)
     while True:  # more or stronger insults never lower a score
         fitted = fit_logistic(described * use, labels, weight)
@@ -513,12 +578,17 @@ def held_out(doc_id) -> object:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[tuple[str, int]], tuple[float, float]]:
     """A bounded sample of labelled rows outside the held-out fold, by hash of the id, and what a row of each class stands for."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).where(F.col("__id").isNotNull() & F.col("__toxic").isin(0, 1) & ~held_out(F.col("__id"))).dropDuplicates(["__id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).where(F.col("__id").isNotNull() & F.col("__toxic").isin(0, 1) & ~held_out(F.col("__id")))
+    usable = known.groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     count = {int(k): int(n) for k, n in usable.groupBy("__toxic").agg(F.count("*")).collect()}
     picks = [usable.where(F.col("__toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(most) for k, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     ids = F.broadcast(picks[0].union(picks[1]))  # at most MAX_TOXIC + MAX_CLEAN rows
-    rows = identified(docs, id_col, text_col).join(ids, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__toxic")
-    found = sorted(rows.collect(), key=lambda r: (r[0], r[1] or ""))
+    rows = identified(docs, id_col, text_col).join(ids, F.col("doc_id") == F.col("__id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "__toxic")
+    one = rows.groupBy("doc_id", "__toxic").agg(F.min(F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("k"))
+    room = F.sum("k.n").over(Window.partitionBy(F.col("__toxic")).orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most so many rows, no texts
+    fits = one.withColumn("__sum", room).where(F.col("__sum") <= MAX_CHARS // 2).select(F.col("doc_id").alias("__d"), F.col("k.h").alias("__h"))
+    texts = rows.join(F.broadcast(fits), (F.col("doc_id") == F.col("__d")) & (F.xxhash64("text") == F.col("__h"))).groupBy("doc_id", "__toxic").agg(F.min("text").alias("text"))
+    found = sorted(texts.select("doc_id", "text", "__toxic").collect(), key=lambda r: (r[0], r[1]))
     sampled = Counter(r[2] for r in found)
     return [(r[1], r[2]) for r in found], tuple(count.get(k, 0) / max(1, sampled[k]) for k in (0, 1))
 

@@ -58,10 +58,43 @@ def test_held_out_accuracy_and_contract(spark):
     assert all(got[k].held_out == (k in set(held)) for k in got)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
     assert np.mean([got[k].predicted == int(k % 4 == 0) for k in held]) > 0.97
-    gapped = [(k, document(5000 + k, True, lambda w: w[:2] + "*" + w[2:])) for k in range(20)] + [(100 + k, document(6000 + k, True, lambda w: ".".join(w))) for k in range(20)]
-    twisted = score_documents(frame(spark, gapped + rows), labels)
-    caught = [r.predicted for r in twisted.where("doc_id < 120").collect() if r.doc_id < 20 or r.doc_id >= 100]
-    assert len(caught) >= 40
+
+
+VARIANTS = {
+    "mark": lambda w: w[:2] + "*" + w[2:],
+    "dots": lambda w: ".".join(w),
+    "hyphen": lambda w: w[:3] + "-" + w[3:],
+    "spaced": lambda w: " ".join(w),
+    "doubled": lambda w: w[:2] + w[2] * 2 + w[3:],
+    "one letter": lambda w: w[:3] + "x" + w[3:],
+    "two letters": lambda w: w[:3] + "xx" + w[3:],
+    "two other letters": lambda w: w[:2] + "ow" + w[2:],
+}
+
+
+def test_gapped_and_inserted_characters_are_tolerated(spark):
+    rows = [(k, document(k, k % 4 == 0)) for k in range(600)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
+    rows += [(1000 * (1 + v) + k, document(5000 + 100 * v + k, True, twist)) for v, twist in enumerate(VARIANTS.values()) for k in range(40)]
+    rows += [(90_000 + k, document(9000 + k, False)) for k in range(200)]
+    got = {r.doc_id: r.predicted for r in score_documents(frame(spark, rows), labels).collect()}
+    caught = {name: sum(got[1000 * (1 + v) + k] for k in range(40)) for v, name in enumerate(VARIANTS)}
+    assert min(caught.values()) >= 36, caught
+    assert sum(got[90_000 + k] for k in range(200)) <= 4
+
+
+def test_conflicting_labels_and_repeated_rows(spark):
+    rows = [(k, document(k, k % 4 == 0)) for k in range(300)]
+    true = [(k, 1, int(k % 4 == 0)) for k in range(300)]
+    schema = "doc_id long, quality int, toxic int"
+    docs = frame(spark, rows + rows[:50] + [(rows[0][0], None)])
+    a, b = (sorted((r.doc_id, r.score) for r in score_documents(docs, spark.createDataFrame(x, schema)).collect()) for x in (true, [(k, 1, 0) for k in range(0, 300, 4)] + true[::-1]))
+    assert a == b and len(a) == 351
+
+
+def test_landmarks_come_from_all_words():
+    words = [f"{'abcdefghij'[k % 10] * 3}{k}" for k in range(3000)] + ["zqzqzqzq"]
+    assert "zqzqzqzq" in toxicity.farthest_first(words, 64)
 
 
 def test_labels_of_the_held_out_fold_change_nothing(spark):
