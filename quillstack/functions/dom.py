@@ -18,11 +18,26 @@ SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "index")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
+        self.index: dict[str, list[Node]] | None = None
+
+    def candidates(self, tests: tuple[tuple, ...]) -> Iterator[Node]:
+        """Elements below that may fit a compound, in document order: a root looks its tags and classes up."""
+        if self.tag != "#root":
+            return self.walk()
+        if self.index is None:
+            self.index = {}
+            for node in self.walk():
+                for key in {node.tag, *("." + c for c in node.attrs.get("class", "").split())}:
+                    self.index.setdefault(key, []).append(node)
+        for tag, cls, *_ in tests:
+            if cls or tag and tag != "*":
+                return iter(self.index.get("." + cls if cls else tag.lower(), ()))
+        return self.walk()
 
     def walk(self) -> Iterator[Node]:
         """All elements below, in document order."""
@@ -53,10 +68,14 @@ class Node:
 
     def select(self, selector: str) -> list[Node]:
         groups = compiled(selector)
+        if len(groups) == 1:
+            return [n for n in self.candidates(groups[0][-1]) if matches(n, groups[0])]
         return [n for n in self.walk() if any(matches(n, steps) for steps in groups)]
 
     def first(self, selector: str) -> Node | None:
         groups = compiled(selector)
+        if len(groups) == 1:
+            return next((n for n in self.candidates(groups[0][-1]) if matches(n, groups[0])), None)
         return next((n for n in self.walk() if any(matches(n, steps) for steps in groups)), None)
 
 

@@ -125,8 +125,22 @@ def link_type(url: Column, site_url: str) -> Column:
     return F.when(low.startswith("mailto:"), "email").when(low.startswith("tel:"), "phone").when(url.contains(site_url), "internal").otherwise("external")
 
 
+def without_dots(url: Column) -> Column:
+    """The URL with the . and .. segments of its path resolved, none above the root."""
+    root = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    rest = F.substring(url, F.length(root) + 1, F.length(url))
+    path = F.regexp_extract(rest, r"^[^?#]*", 0)
+    tail = F.substring(rest, F.length(path) + 1, F.length(rest))
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    none = F.array().cast("array<string>")
+    up = lambda acc: F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(none)
+    kept = F.aggregate(parts, none, lambda acc, p: F.when(p == "..", up(acc)).when(p == ".", acc).otherwise(F.concat(acc, F.array(p))))
+    ends = F.when(path.rlike(r"/\.{1,2}$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when((root != "") & path.rlike(r"/\.{1,2}(/|$)"), F.concat(root, F.lit("/"), F.array_join(kept, "/"), ends, tail)).otherwise(url)
+
+
 def absolute_url(href: Column, site_url: str, page_url: Column) -> Column:
-    """RFC 3986 for the forms that pages use: //host, /path, ?query, #fragment, relative path, full URL."""
+    """RFC 3986 for the forms that pages use: //host, /path, ?query, #fragment, relative path with . and .., full URL."""
     root = re.match(r"[a-z]+://[^/]+", site_url)[0]
     scheme = root.split(":")[0]
     bare = F.regexp_replace(page_url, r"[?#].*$", "")
@@ -136,10 +150,10 @@ def absolute_url(href: Column, site_url: str, page_url: Column) -> Column:
     return (
         F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(F.lit(scheme + ":"), href))
-        .when(href.startswith("/"), F.concat(F.lit(root), href))
+        .when(href.startswith("/"), without_dots(F.concat(F.lit(root), href)))
         .when(href.startswith("?"), F.concat(bare, href))
         .when(href.startswith("#"), F.concat(F.regexp_replace(page_url, "#.*$", ""), href))
-        .otherwise(F.concat(folder, href))
+        .otherwise(without_dots(F.concat(folder, href)))
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratios import floor_mean, percent
@@ -123,11 +123,38 @@ def completeness(archive: DataFrame) -> DataFrame:
     return found.withColumn("completeness", percent(F.col("valid_posts"), F.col("posts")))
 
 
+def _one_by_key(rows: DataFrame, key: str, pick) -> DataFrame:
+    """One row of each key; grouped by the key's digest with partial results, so that a long or frequent key moves little."""
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(F.sha2(F.col(key).cast("string"), 256).alias("__k")).agg(pick(row).alias("__row")).select("__row.*")
+
+
 def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("__n = 1").drop("__n")
+    return _one_by_key(rows, key, lambda row: F.max_by(row, order))
 
 
 def first_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order)))).where("__n = 1").drop("__n")
+    return _one_by_key(rows, key, lambda row: F.min_by(row, order))
+
+
+def index_rows(posts: DataFrame, key: Column, name: str) -> DataFrame:
+    """(key, date, pos, id, title): an index as rows, by key and newest first within it. Sorted by ranges of key and date, so that a key that a third of all
+    posts have is spread over tasks."""
+    flat = posts.select(key.alias(name), F.coalesce("published_date", F.lit("")).alias("date"), "pos", "id", "title").where(F.coalesce(F.col(name), F.lit("")) != "")
+    order = (F.col(name), F.col("date").desc(), F.col("pos"))
+    return flat.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def basic_metadata(posts: DataFrame, generated: str) -> DataFrame:
+    """One row: how many posts, and when this was said."""
+    return posts.agg(F.count("*").alias("total_posts")).withColumn("generated_at", F.lit(generated))
+
+
+def historical_summary(posts: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row: URLs tried, extracted, failed, share in percent, mean words of the posts that have some."""
+    lost = failed.agg(F.count("*").alias("failed"))
+    found = posts.agg(F.count("*").alias("extracted"), F.avg(F.nullif("word_count", F.lit(0))).alias("average_words"))
+    both = found.join(lost).withColumn("total", F.col("extracted") + F.col("failed"))  # two totals of one row each
+    return both.select("total", "extracted", "failed", percent(F.col("extracted"), F.col("total")).alias("success_rate"), "average_words")

@@ -9,13 +9,113 @@ from pyspark.sql import functions as F
 
 from ..config import UrlProfile
 from ..functions import urls
-from .extract import hrefs
+from .extract import hrefs, tree
 
-# Listing templates.
+# Templates of listing pages; {section} is one of the site's post sections.
 PAGE_TEMPLATES = ("?page={}", "?offset={}", "/page/{}", "?p={}", "?start={}", "&page={}")
 YEAR_PAGE_TEMPLATES = ("?page={}", "/page/{}", "?offset={}", "&page={}")
 YEAR_TEMPLATES = ("{section}/{year}", "{section}?year={year}", "{section}?archive={year}", "{section}/?year={year}", "/blog/{year}", "/blog?year={year}")
-SORT_TEMPLATES = ("?sort=date", "?sort=oldest", "?sort=newest", "?order=asc", "?order=desc", "?view=archive", "?format=archive")
+SORT_TEMPLATES = (
+    "{section}?view=archive&sort=date", "{section}?view=archive&sort=oldest", "{section}?view=archive&order=asc", "{section}?view=archive&sort=published&order=asc",
+    "{section}?archive=true&sort=date", "/blog-archive?sort=oldest", "/blog-archive?order=asc",
+)
+# Where sitemaps, feeds, sections and archives of a site may be.
+SITEMAP_PLACES = (
+    "/sitemap.xml", "/sitemap_index.xml", "/sitemap-posts.xml", "/sitemap-blog.xml", "/sitemap/posts.xml", "/sitemap/blog.xml", "/sitemaps/sitemap.xml", "/blog-sitemap.xml",
+    "/posts-sitemap.xml",
+)
+FEED_PLACES = (
+    "/rss", "/feed", "/feeds", "/atom.xml", "/rss.xml", "/feed.xml", "/blog/rss", "/blog/feed", "{section}/rss", "{section}/feed", "/blog.rss", "/?format=rss", "{section}?format=rss",
+)
+SECTION_PLACES = ("{section}", "/blog-archive", "/?view=archive")
+ARCHIVE_PLACES = ("/?view=archive", "/archive", "/blog-archive", "{section}?view=archive")
+EXPLORED_SECTIONS = ("/blog", "/blog/", "/posts", "/posts/", "/articles", "/articles/", "/news", "/news/", "/writing", "/writing/", "/journal", "/journal/")
+EXPLORED_ARCHIVES = ("/archive", "/archive/", "/?view=archive", "/blog/archive", "/posts/archive")
+STRUCTURE_PLACES = ("/", "/blog/", "/posts/", "/articles/")
+
+
+def expanded(templates: tuple[str, ...], sections: tuple[str, ...] = (), **values) -> tuple[str, ...]:
+    """Templates with the sections put in, each once, in order."""
+    made = (t.replace("{section}", "/" + section.strip("/")) for t in templates for section in (sections if "{section}" in t else ("",)))
+    return tuple(dict.fromkeys(t.format(**values) if values else t for t in made))
+
+
+def places(sites: DataFrame, paths: tuple[str, ...]) -> DataFrame:
+    """(site, place, url): every place of every site, without a slash at the site's end."""
+    listed = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(p).alias("path")) for k, p in enumerate(paths)])
+    rows = sites.select(F.regexp_replace("site", "/+$", "").alias("site"), F.explode(listed).alias("p"))
+    return rows.select("site", "p.place", F.concat("site", "p.path").alias("url"))
+
+
+def found_at(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """Candidates (url, ...) that there is a page for, with its html. A join on the URL; the smaller side is for Catalyst to choose."""
+    return candidates.join(pages.select("url", "html"), "url")
+
+
+def posts_at(candidates: DataFrame, pages: DataFrame, site_url: str, profile: UrlProfile = UrlProfile()) -> DataFrame:
+    """(columns of candidates, post): the post URLs that the candidates' pages link to, distinct."""
+    there = found_at(candidates, pages)
+    linked = there.select(*candidates.columns, F.explode(F.array_distinct(hrefs(F.col("html")))).alias("href")).where(urls.is_post_url(F.col("href"), profile))
+    return linked.select(*candidates.columns, urls.absolute_url(F.col("href"), site_url, F.col("url")).alias("post")).distinct()
+
+
+def first_posts(candidates: DataFrame, keys: list[str], order: str, pages: DataFrame, site_url: str, profile: UrlProfile = UrlProfile()) -> DataFrame:
+    """posts_at of the first candidate of each key that links to a post; later ones are not looked at."""
+    found = posts_at(candidates, pages, site_url, profile)
+    first = found.groupBy(*keys).agg(F.min(order).alias("__first"))
+    return found.join(first, keys).where(F.col(order) == F.col("__first")).drop("__first")
+
+
+def paged_posts(bases: DataFrame, pages: DataFrame, site_url: str, templates: tuple[str, ...], first: int, last: int, empties: int, late_page: int | None, profile: UrlProfile = UrlProfile()) -> DataFrame:
+    """(base, template, page, post): posts of the listing pages up to the stop rule's page; a page without an answer is empty."""
+    listed = listing_urls(bases, templates, first, last)
+    found = posts_at(listed, pages, site_url, profile).persist()  # read three times
+    hits = found.groupBy("base", "template", "page").agg(F.count("*").alias("n"))
+    every = listed.drop("url").join(hits, ["base", "template", "page"], "left").withColumn("hit", (F.coalesce("n", F.lit(0)) > 0).cast("int"))
+    until = pages_until_empty(every, ["base", "template"], empties=empties, late_page=late_page).select("base", "template", "page")
+    return found.join(until, ["base", "template", "page"]).select("base", "template", "page", "post")
+
+
+def historical_scan(pages: DataFrame, site_url: str, years: range, sections: tuple[str, ...], profile: UrlProfile = UrlProfile()) -> DataFrame:
+    """(url): posts of old years. Of each year's templates the first with posts counts, with its further pages (the first template of those that has some,
+    up to three empty pages in a row); and the sorted archives with theirs."""
+    spark = pages.sparkSession
+    root = site_url.rstrip("/")
+    rows = [(year, k, root + path) for year in years for k, path in enumerate(expanded(YEAR_TEMPLATES, sections, year=year))]
+    candidates = spark.createDataFrame(rows, "year int, place int, url string")
+    by_year = first_posts(candidates, ["year"], "place", pages, site_url, profile).persist()
+    bases = by_year.select(F.col("url").alias("base")).distinct()
+    paged = paged_posts(bases, pages, site_url, YEAR_PAGE_TEMPLATES, 2, 10, 3, None, profile).persist()
+    best = paged.groupBy("base").agg(F.min("template").alias("template"))
+    further = paged.join(best, ["base", "template"])
+    sorted_ = places(spark.createDataFrame([(root,)], "site string"), expanded(SORT_TEMPLATES, sections))
+    by_sort = posts_at(sorted_, pages, site_url, profile)
+    sort_pages = paged_posts(by_sort.select(F.col("url").alias("base")).distinct(), pages, site_url, PAGE_TEMPLATES, 1, 25, 5, 15, profile)
+    parts = [by_year.select("post"), further.select("post"), by_sort.select("post"), sort_pages.select("post")]
+    return reduce(DataFrame.unionByName, parts).distinct().select(F.col("post").alias("url"))
+
+
+def crawl(pages: DataFrame, site_url: str, profile: UrlProfile = UrlProfile()) -> DataFrame:
+    """(url): posts that pages link to, and posts on the pages that navigation links name."""
+    named = tree(pages, "nav_links").select("url", F.explode("d.nav_links.href").alias("href"))
+    targets = named.select(urls.absolute_url(F.col("href"), site_url, F.col("url")).alias("url")).distinct()
+    return urls_on_pages(pages, site_url, profile).union(posts_at(targets, pages, site_url, profile).select(F.col("post").alias("url"))).distinct()
+
+
+def blog_structure(sites: DataFrame, pages: DataFrame) -> DataFrame:
+    """(site, blog_url, n_posts, patterns): the first of a site's usual places whose page has articles or post elements, and what it links to."""
+    there = found_at(places(sites, STRUCTURE_PLACES), pages)
+    d = tree(there, "article_count", "has_post_elements", "post_hrefs").where((F.col("d.article_count") > 0) | F.col("d.has_post_elements"))
+    first = d.groupBy("site").agg(F.min_by(F.struct("url", "d.post_hrefs"), "place").alias("r"))
+    patterns = F.array_sort(F.array_distinct(F.filter(F.transform("r.post_hrefs", lambda u: urls.url_pattern(u)), lambda p: p.isNotNull())))
+    return first.select("site", F.col("r.url").alias("blog_url"), F.size("r.post_hrefs").alias("n_posts"), patterns.alias("patterns"))
+
+
+def explorer_report(found: DataFrame, posts: int = 10, listed: int = 20) -> DataFrame:
+    """(kind, rank, url): how previews of the found URLs begin, by URL: the first post-like ones and the first of all."""
+    likely = found.where(urls.looks_like_post(F.col("url"))).select("url").distinct().orderBy("url").limit(posts).withColumn("kind", F.lit("post"))
+    every = found.select("url").distinct().orderBy("url").limit(listed).withColumn("kind", F.lit("url"))
+    return likely.unionByName(every).withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("url")))  # thirty rows at most
 
 
 def union_methods(methods: dict[str, DataFrame]) -> DataFrame:

@@ -37,13 +37,15 @@ POST_LINKS = ('a[href*="/blog/"]', ".blog-item a", ".entry a", "article a", '[da
 HISTORICAL_TITLES = ("h1.entry-title", "h1", ".entry-title", ".post-title", "title", "h2.entry-title")
 HISTORICAL_CONTENTS = (".entry-content", ".post-content", ".content", "article", ".entry", ".post-body", ".main-content")
 
+PROFILE_WORDS = "blog|posts|articles|recent|latest"
+
 RAW_LINK = "struct<href:string,text:string,title:string>"
 DOM = (
     "title string, meta_description string, author string, content_html string, content_text string, content_markdown string, naive_markdown string, "
     "meta_published string, meta_modified string, ld_json string, dom_date string, categories array<string>, tags array<string>, "
     f"images array<{IMAGE_RAW}>, links array<{RAW_LINK}>, all_links array<{RAW_LINK}>, nav_links array<{RAW_LINK}>, post_hrefs array<string>, "
     "builder_counts array<struct<selector:string,count:int>>, article_count int, has_post_elements boolean, has_navigation boolean, "
-    f"candidate_links array<{RAW_LINK}>, historical_title string, historical_content string, error string"
+    f"candidate_links array<{RAW_LINK}>, page_title string, body_text string, historical_title string, historical_content string, error string"
 )
 
 
@@ -170,56 +172,92 @@ def _historical(root: Node) -> tuple[str | None, str | None]:
     return title, content
 
 
-def dom_record(url: str, html: str) -> dict:
-    """Every field of one page's tree."""
+def _links_of(root: Node) -> list[dict]:
+    found = next((found for s in LINKS if (found := root.select(s))), None) or root.select("a[href]")
+    return [_link(n) for n in found if n.attrs.get("href", "") not in ("", "#", "javascript:void(0)")]
+
+
+def _images_of(root: Node, base: str) -> list[dict]:
+    top = next((n for s in (*CONTENTS, "article", "body") if (n := root.first(s)) is not None), root)
+    return [_image(n, base) for n in top.select("img") if n.attrs.get("src") and not _is_icon(n)]
+
+
+def _navigation(root: Node) -> list[dict]:
+    """Links of navigation elements whose text speaks of posts, the first of each target."""
+    found: dict[str, dict] = {}
+    for selector in NAVIGATION:
+        for nav in root.select(selector):
+            for node in nav.select("a"):
+                link = _link(node)
+                if link["href"] and any(w in link["text"].lower() for w in NAVIGATION_WORDS):
+                    found.setdefault(link["href"], link)
+    return [*found.values()]
+
+
+def _body_text(root: Node) -> str:
+    return _flat(root.first("body") or root)
+
+
+#: Fields that read the tree as it is: name to a function of (root, URL).
+READ = {
+    "title": lambda root, url: _first_text(root, TITLES) or "Untitled",
+    "meta_description": lambda root, url: _meta(root, 'meta[name="description"]') or "",
+    "author": lambda root, url: _first_text(root, AUTHORS),
+    "meta_published": lambda root, url: _meta(root, 'meta[property="article:published_time"]'),
+    "meta_modified": lambda root, url: _meta(root, 'meta[property="article:modified_time"]'),
+    "ld_json": lambda root, url: _structured_data(root),
+    "dom_date": lambda root, url: _first_text(root, DATES),
+    "categories": lambda root, url: _all_texts(root, CATEGORIES),
+    "tags": lambda root, url: _all_texts(root, TAGS),
+    "images": _images_of,
+    "links": lambda root, url: _links_of(root),
+    "all_links": lambda root, url: [_link(n) for n in root.select("a[href]")],
+    "nav_links": lambda root, url: _navigation(root),
+    "post_hrefs": lambda root, url: _post_hrefs(root),
+    "builder_counts": lambda root, url: [{"selector": s, "count": len(root.select(s))} for s in BUILDER_ELEMENTS],
+    "article_count": lambda root, url: len(root.select("article")),
+    "has_post_elements": lambda root, url: any(root.first(s) is not None for s in POST_ELEMENTS),
+    "has_navigation": lambda root, url: root.first("nav, .navigation, .menu") is not None,
+    "candidate_links": lambda root, url: [link for n in root.select('a[href*="/blog/"], a[href*="/posts/"]')[:10] if (link := _link(n))["text"]],
+    "page_title": lambda root, url: _flat(node) if (node := root.first("title")) is not None else "",
+    "body_text": lambda root, url: _body_text(root),
+}
+#: Fields of the content element without scripts and styles.
+WRITTEN = {"content_html": Node.html, "content_text": lambda node: node.text().strip(), "content_markdown": markdown, "naive_markdown": _headed}
+#: Fields that ``extract_posts`` reads; others are made where they are asked for.
+POST_FIELDS = ("title", "meta_description", "author", "meta_published", "meta_modified", "ld_json", "dom_date", "categories", "tags", "images", "links", "content_html", "content_text", "content_markdown")
+
+
+def dom_record(url: str, html: str, wanted: tuple[str, ...] | None = None) -> dict:
+    """Fields of one page's tree, all if none are named."""
+    names = [c.split()[0] for c in _columns(DOM)][:-1] if wanted is None else wanted
     root = parse(html)
-    content = _content(root)
-    base = url or ""
-    image_root = next((n for s in (*CONTENTS, "article", "body") if (n := root.first(s)) is not None), root)
-    links = next((found for s in LINKS if (found := root.select(s))), None) or root.select("a[href]")
-    title, body = _historical(root)
-    data = {
-        "title": _first_text(root, TITLES) or "Untitled",
-        "meta_description": _meta(root, 'meta[name="description"]') or "",
-        "author": _first_text(root, AUTHORS),
-        "meta_published": _meta(root, 'meta[property="article:published_time"]'),
-        "meta_modified": _meta(root, 'meta[property="article:modified_time"]'),
-        "ld_json": _structured_data(root),
-        "dom_date": _first_text(root, DATES),
-        "categories": _all_texts(root, CATEGORIES),
-        "tags": _all_texts(root, TAGS),
-        "images": [_image(n, base) for n in image_root.select("img") if n.attrs.get("src") and not _is_icon(n)],
-        "links": [_link(n) for n in links if n.attrs.get("href", "") not in ("", "#", "javascript:void(0)")],
-        "all_links": [_link(n) for n in root.select("a[href]")],
-        "nav_links": [link for s in NAVIGATION for nav in root.select(s) for n in nav.select("a") if (link := _link(n))["href"] and any(w in link["text"].lower() for w in NAVIGATION_WORDS)],
-        "post_hrefs": _post_hrefs(root),
-        "builder_counts": [{"selector": s, "count": len(root.select(s))} for s in BUILDER_ELEMENTS],
-        "article_count": len(root.select("article")),
-        "has_post_elements": any(root.first(s) is not None for s in POST_ELEMENTS),
-        "has_navigation": root.first("nav, .navigation, .menu") is not None,
-        "candidate_links": [link for n in root.select('a[href*="/blog/"], a[href*="/posts/"]')[:10] if (link := _link(n))["text"]],
-        "historical_title": title,
-        "historical_content": body,
-    }
-    for node in list(content.walk()):
-        if node.tag in ("script", "style"):
-            node.remove()
-    return data | {"content_html": content.html(), "content_text": content.text().strip(), "content_markdown": markdown(content), "naive_markdown": _headed(content), "error": None}
-
-
-def dom_fields(html: Column, url: Column) -> Column:
-    """Struct of all fields of a page's tree; ``error`` says why a page gave none."""
+    data = {name: READ[name](root, url or "") for name in names if name in READ}
+    if "historical_title" in names or "historical_content" in names:
+        data["historical_title"], data["historical_content"] = _historical(root)
+    if any(name in WRITTEN for name in names):
+        content = _content(root)
+        for node in list(content.walk()):
+            if node.tag in ("script", "style"):
+                node.remove()
+        data |= {name: WRITTEN[name](content) for name in names if name in WRITTEN}
+    return data | {"error": None}
+
+
+def dom_fields(html: Column, url: Column, wanted: tuple[str, ...] | None = None) -> Column:
+    """Struct of the wanted fields of a page's tree (all if none are named); ``error`` says why a page gave none."""
 
     ship(SparkSession.active())
+    schema = [c for c in _columns(DOM) if wanted is None or c.split()[0] in (*wanted, "error")]
+    names = [c.split()[0] for c in schema]
 
-    @F.pandas_udf(DOM)
+    @F.pandas_udf(", ".join(schema))
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _columns(DOM)]
         for pages, links in batches:
             rows = []
             for page, link in zip(pages, links, strict=True):
                 try:
-                    rows.append(dom_record(link, page))
+                    rows.append(dom_record(link, page, wanted))
                 except (ValueError, RecursionError) as error:
                     rows.append(dict.fromkeys(names) | {"error": f"{type(error).__name__}: {error}"})
             yield pd.DataFrame(rows, columns=names)
@@ -241,7 +279,7 @@ def _columns(ddl: str) -> list[str]:
 def extract_posts(pages: DataFrame, config: Config = Config()) -> DataFrame:
     """Posts of raw pages (url, html): the flat post record; pages that fail carry ``error``."""
     base = pages.where(F.col("url").isNotNull()).select("url", "html", "scraped_at" if "scraped_at" in pages.columns else F.lit(None).cast("string").alias("scraped_at"))
-    d = base.withColumn("d", dom_fields(F.coalesce("html", F.lit("")), F.col("url")))
+    d = base.withColumn("d", dom_fields(F.coalesce("html", F.lit("")), F.col("url"), POST_FIELDS))
     published, modified = dates.effective_dates(
         urls.url_date(F.col("url")), F.col("d.meta_published"), F.col("d.meta_modified"), F.get_json_object("d.ld_json", "$.datePublished"), F.get_json_object("d.ld_json", "$.dateModified"), F.col("d.dom_date")
     )
@@ -282,7 +320,7 @@ def keep_first(items: Column, key: str) -> Column:
 
 def extract_historical(pages: DataFrame, author: str = "") -> DataFrame:
     """Posts of old pages: longer titles and contents win, the date is the first of the URL's month."""
-    d = pages.where(F.col("url").isNotNull()).select("url", dom_fields(F.coalesce("html", F.lit("")), F.col("url")).alias("d"))
+    d = pages.where(F.col("url").isNotNull()).select("url", dom_fields(F.coalesce("html", F.lit("")), F.col("url"), ("historical_title", "historical_content")).alias("d"))
     year, month = urls.year_month(F.col("url"))
     content = F.coalesce("d.historical_content", F.lit(""))
     return d.select(
@@ -301,6 +339,20 @@ def extract_historical(pages: DataFrame, author: str = "") -> DataFrame:
     )
 
 
+def tree(pages: DataFrame, *wanted: str) -> DataFrame:
+    """(columns of pages without html, d): the wanted fields of each page's tree."""
+    rest = [c for c in pages.columns if c != "html"]
+    return pages.select(*rest, dom_fields(F.coalesce("html", F.lit("")), F.col("url"), wanted).alias("d"))
+
+
+def main_page_profile(pages: DataFrame, site_url: str) -> DataFrame:
+    """(url, title, total_links, blog_links, has_blog_keywords, builder_elements): what a page says about the site's posts."""
+    d = tree(pages, "page_title", "body_text", "all_links", "builder_counts")
+    likely = F.filter("d.all_links", lambda x: urls.looks_like_post(urls.absolute_url(x["href"], site_url, F.col("url"))))
+    count = F.aggregate("d.builder_counts", F.lit(0), lambda acc, x: acc + x["count"])
+    return d.select("url", F.col("d.page_title").alias("title"), F.size("d.all_links").alias("total_links"), F.size(likely).alias("blog_links"), F.lower("d.body_text").rlike(PROFILE_WORDS).alias("has_blog_keywords"), count.alias("builder_elements"))
+
+
 # ---- without Python -----------------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,65 @@ def running_totals(events: DataFrame, key: list[str], order: list[str], sums: di
     return out.withColumn("peak", F.max(peak).over(frame)) if peak else out
 
 
+def progress_marks(items: DataFrame, every: int = 10) -> DataFrame:
+    """(n, total, percent): after how many of the items the share done has grown by ``every`` percent since the mark before, and after the last one."""
+    total = items.count()
+    marks, last = [], 0
+    while last < total:  # at most a hundred steps, whatever the number of rows
+        done = 100 * last // total if marks else 0
+        last = min(total, max(last + 1, -(-(done + every) * total // 100)))
+        marks.append((last, total, 100 * last // total))
+    return items.sparkSession.createDataFrame(marks, "n long, total long, percent long")
+
+
+def session_id(now, seed: str) -> str:
+    """archive_<time>_<eight digits>."""
+    return f"archive_{now:%Y%m%d_%H%M%S}_{hashlib.md5(seed.encode()).hexdigest()[:8]}"
+
+
+def cache_key(url: Column, content: Column) -> Column:
+    """Digest of a page's URL and first hundred characters."""
+    return F.md5(F.concat_ws("|", url, F.substring(content, 1, 100)))
+
+
+def cache_stats(cached: DataFrame, key: str, most: int) -> DataFrame:
+    """One row: entries, room, share used."""
+    return cached.agg(F.count_distinct(key).alias("size")).select("size", F.lit(most).cast("long").alias("max_size"), (F.col("size") / F.lit(float(most))).alias("utilization"))
+
+
+def run_metrics(events: DataFrame, ts: str, memory: str) -> DataFrame:
+    """One row: operations, seconds from first to last, operations a second (0 without time), peak and last memory."""
+    span = F.unix_timestamp(F.max(ts)) - F.unix_timestamp(F.min(ts))
+    found = events.agg(F.count("*").alias("total_operations"), span.cast("double").alias("execution_time_seconds"), F.max(memory).alias("peak_memory_mb"), F.max_by(memory, F.struct(ts, memory)).alias("memory_usage_mb"))
+    return found.withColumn("operations_per_second", F.when(F.col("execution_time_seconds") > 0, F.col("total_operations") / F.col("execution_time_seconds")).otherwise(F.lit(0.0)))
+
+
+def recommendations(peak_mb: Column, per_second: Column, cpu: Column, cache_share: Column) -> Column:
+    """What to change, by thresholds of memory, speed, processor and cache."""
+    found = F.filter(
+        F.array(
+            F.when(peak_mb > 2048, F.lit("memory: smaller partitions")),
+            F.when(per_second < 0.5, F.lit("speed: look at the source")),
+            F.when(cpu > 90, F.lit("processor: fewer tasks at a time")),
+            F.when(cache_share < 0.3, F.lit("cache: hardly used")),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("nothing to change")))
+
+
+def retry_summary(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row: how many had failed, and how many of them are completed now."""
+    tried = to_retry(before, key)
+    now = tried.join(after.select(F.col(key).alias("__k"), F.col("status").alias("__s")), F.col(key) == F.col("__k"), "left")
+    return now.agg(F.count("*").alias("retried_urls"), F.count_if(F.col("__s") == "completed").alias("successful_retries"))
+
+
+def completion_summary(state: DataFrame, started, ended) -> DataFrame:
+    """Progress and the seconds it took."""
+    return progress(state).withColumn("elapsed_seconds", F.lit(float((ended - started).total_seconds())))
+
+
 def to_retry(state: DataFrame, key: str) -> DataFrame:
     return state.where("status = 'failed'").select(key)
 

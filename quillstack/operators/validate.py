@@ -141,15 +141,23 @@ def validate_posts(posts: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def validation_report(posts: DataFrame, validated: DataFrame) -> DataFrame:
-    """One row: posts, valid posts, warnings, errors, issues, fixes, success rate."""
-    rejected = posts.agg(F.count("*").alias("total_posts"), F.count_if(_blank(F.col("url"))).alias("errors"))
+    """One row: posts, valid posts, warnings, errors, issues, fixes, success rate. Validation keeps every post with a URL, so what it dropped are the errors."""
+    everything = posts.agg(F.count("*").alias("total_posts"))
     found = validated.agg(
         F.count("*").alias("valid_posts"),
         F.count_if(F.col("validation.issues_found") > 0).alias("warnings"),
         F.coalesce(F.sum("validation.issues_found"), F.lit(0)).alias("issues_found"),
         F.coalesce(F.sum("fixes"), F.lit(0)).alias("fixes_applied"),
     )
-    return rejected.join(found).withColumn("success_rate", percent(F.col("valid_posts"), F.col("total_posts")))
+    both = everything.join(found).withColumn("errors", F.col("total_posts") - F.col("valid_posts"))
+    return both.withColumn("success_rate", percent(F.col("valid_posts"), F.col("total_posts")))
+
+
+def validation_summary(report: DataFrame) -> DataFrame:
+    """(summary): a report as lines for a reader."""
+    named = (("Posts", "total_posts"), ("Valid", "valid_posts"), ("With issues", "warnings"), ("Rejected", "errors"), ("Issues", "issues_found"), ("Fixes", "fixes_applied"))
+    lines = [F.concat(F.lit(f"{label}: "), F.col(name).cast("string")) for label, name in named]
+    return report.select(F.concat_ws("\n", *lines, F.concat(F.lit("Success rate: "), F.format_string("%.1f%%", F.col("success_rate")))).alias("summary"))
 
 
 def issue_counts(validated: DataFrame) -> DataFrame:

@@ -30,16 +30,26 @@ def child_sitemaps(xml: Column) -> Column:
     return _decoded(F.regexp_extract_all(xml, F.lit(r"(?is)<(?:\w+:)?sitemap>.*?<(?:\w+:)?loc>\s*(.*?)\s*</(?:\w+:)?loc>.*?</(?:\w+:)?sitemap>"), F.lit(1)))
 
 
+def _entities(x: Column) -> Column:
+    """The five entities of XML, the ampersand's last, without a CDATA mark around."""
+    bare = F.regexp_replace(x, r"^<!\[CDATA\[|\]\]>$", "")
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(name), F.lit(mark))
+    return bare
+
+
 def _decoded(found: Column) -> Column:
-    return F.transform(found, lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+    return F.transform(found, _entities)
 
 
 def feed_links(content: Column) -> Column:
     """Links of an RSS or Atom feed: link texts, ids, link targets; each once."""
-    texts = F.regexp_extract_all(content, F.lit(r"(?i)<link[^>]*>([^<]+)</link>"), F.lit(1))
-    ids = F.regexp_extract_all(content, F.lit(r"(?i)<id[^>]*>([^<]+)</id>"), F.lit(1))
-    targets = F.regexp_extract_all(content, F.lit(r"""(?i)<link[^>]+href=["']([^"']+)["'][^>]*>"""), F.lit(1))
-    return F.array_distinct(F.transform(F.concat(texts, ids, targets), lambda x: F.trim(x)))
+    # a feed cut at its opening marks: each piece is a tag's name, attributes, and the text that follows
+    pieces = F.transform(F.split(content, "<"), lambda p: F.struct(F.lower(F.regexp_extract(p, r"^(\w+)", 1)).alias("tag"), F.split_part(p, F.lit(">"), F.lit(1)).alias("head"), F.trim(F.regexp_replace(p, "^[^>]*>?", "")).alias("text")))
+    of = lambda tag: F.filter(pieces, lambda p: p["tag"] == tag)
+    written = lambda tag: F.transform(F.filter(of(tag), lambda p: p["text"] != ""), lambda p: p["text"])
+    pointed = F.transform(of("link"), lambda p: F.trim(F.regexp_extract(p["head"], r"(?i)\bhref\s*=\s*(\"|')(.*?)\1", 2)))
+    return F.array_distinct(F.transform(F.concat(written("link"), written("id"), F.filter(pointed, lambda u: u != "")), _entities))
 
 
 def robots_sitemaps(content: Column) -> Column:
