@@ -34,7 +34,9 @@ HISTORICAL_POSTS = (
     "year int, month int, author string, extraction_method string"
 )
 SESSION_EVENTS = "session_id string, url string, status string, error string, ts timestamp, seconds double, html_len long, n_images int"
-UPDATE_LOG = "timestamp string, updated_urls array<string>, successful_updates int, total_requested_updates int"
+UPDATE_LOG = "timestamp string, successful_updates long, total_requested_updates long"
+UPDATED_URLS = "timestamp string, url string, status string"
+PHASES = "session_id string, phase string, ts timestamp"
 IMAGE_LEDGER = "original_url string, local_path string, status string, bytes long"
 
 

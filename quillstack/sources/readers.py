@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import UrlProfile
 from ..functions import urls
-from ..schemas import ARCHIVED_POSTS, SESSION_EVENTS, UPDATE_LOG
+from ..schemas import ARCHIVED_POSTS, PHASES, SESSION_EVENTS, UPDATE_LOG, UPDATED_URLS
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,9 +58,10 @@ def robots_sitemaps(content: Column) -> Column:
     return F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", "")))
 
 
-def post_urls(documents: DataFrame, content: str, found, profile: UrlProfile = UrlProfile()) -> DataFrame:
-    """(source, url): post URLs that a parser of this module finds in documents."""
-    return documents.select("source", F.explode(found(F.col(content))).alias("url")).where(urls.is_post_url(F.col("url"), profile)).distinct()
+def post_urls(documents: DataFrame, content: str, found, profile: UrlProfile | None = UrlProfile()) -> DataFrame:
+    """(source, url): post URLs that a parser of this module finds in documents; without a profile those that look like posts."""
+    test = urls.looks_like_post(F.col("url")) if profile is None else urls.is_post_url(F.col("url"), profile)
+    return documents.select("source", F.explode(found(F.col(content))).alias("url")).where(test).distinct()
 
 
 def sitemap_tree(index: DataFrame, sitemaps: DataFrame) -> DataFrame:
@@ -88,6 +89,16 @@ def update_log(spark: SparkSession, path: str) -> DataFrame:
     return _or_empty(spark, path, UPDATE_LOG)
 
 
+def updated_urls(spark: SparkSession, path: str) -> DataFrame:
+    """Every URL of every update."""
+    return _or_empty(spark, path, UPDATED_URLS)
+
+
+def phases(spark: SparkSession, path: str) -> DataFrame:
+    """Phases that runs have finished."""
+    return _or_empty(spark, path, PHASES)
+
+
 def _or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

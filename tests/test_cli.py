@@ -28,13 +28,16 @@ def test_archive_resume_and_increment(spark, tmp_path):
     assert names[0] == "2020-01-01-post-0.md" and len(names) == 6
     log = cli.readers.update_log(spark, f"{folder}/update_log").first()
     assert log.successful_updates == 3
-    cli.Session(spark, folder).record(pages(spark, 1), "failed", "s")
-    assert cli.run_retry(spark, pages(spark, 6), folder, CONFIG) == 1
+    listed = cli.readers.updated_urls(spark, f"{folder}/updated_urls")
+    assert {r.status for r in listed.collect()} == {"new", "changed"} and listed.count() == 3
+    first = pages(spark, 1).select("url", F.lit("failed").alias("status"), F.lit("ValueError: x").alias("error"))
+    cli.Session(spark, folder).record(first)
+    assert cli.run_retry(spark, pages(spark, 6), folder, CONFIG) == {"retried_urls": 1, "successful_retries": 1}
     assert cli.state.progress(cli.Session(spark, folder).latest()).first().failed == 0
 
 
-def test_positions_are_dense(spark):
-    rows = cli.positioned(spark.range(1000).select(F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("url")).repartition(7))
+def test_positions_are_dense(spark, tmp_path):
+    rows = cli.positioned(spark.range(1000).select(F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("url")).repartition(7), f"file://{tmp_path}/stage")
     assert [(r.pos, r.url) for r in rows.orderBy("pos").collect()] == [(k, f"u{k:04d}") for k in range(1000)]
 
 
@@ -45,4 +48,38 @@ def test_discover(spark):
 
 def test_create_config(tmp_path):
     cli.main(["create-config", str(tmp_path / "c.json")])
-    assert json.loads((tmp_path / "c.json").read_text())["scraping"]["timeout"] == 30
+    assert json.loads((tmp_path / "c.json").read_text())["sections"] == ["blog"]
+
+
+def test_failing_pages_are_recorded_and_order_is_kept(spark, tmp_path, monkeypatch):
+    """A page that fails is failed, not completed; a resumed run keeps the old order and puts new posts behind."""
+    folder = f"file://{tmp_path}/out"  # a URI, not a path
+    deep = "<div>" * 3000 + "x"
+    broken = pages(spark, 3).union(spark.createDataFrame([("https://s.example.com/blog/2020/1/9/deep", deep)], "url string, html string"))
+    found = cli.run_archive(spark, broken, folder, CONFIG)
+    assert (found["completed"], found["failed"]) == (3, 1)
+    session = cli.Session(spark, folder)
+    failed = session.events().where("status = 'failed'").first()
+    assert failed.url.endswith("/deep") and "RecursionError" in failed.error
+    order = [r.url for r in session.posts().orderBy("pos").collect()]
+    early = spark.createDataFrame([("https://s.example.com/blog/2019/1/1/aaa-first-by-name", "<article class=entry-content><h1>T</h1><p>" + "word " * 20 + "</article>")], "url string, html string")
+    cli.run_archive(spark, broken.union(early), folder, CONFIG)
+    again = [(r.pos, r.url) for r in session.posts().orderBy("pos").collect()]
+    assert again == [*enumerate([*order, early.first().url])]
+    assert cli.run_retry(spark, broken, folder, CONFIG)["successful_retries"] == 0  # it fails again and stays failed
+    assert [r.url for r in session.latest().where("status = 'failed'").collect()] == [failed.url]
+    out = tmp_path / "out"
+    one = json.loads(next(p for p in (out / "posts").glob("*.json") if "post-0" in p.name).read_text())
+    assert one["content"]["word_count"] > 0 and list(one) == sorted(one)
+    main = json.loads((out / "archive.json").read_text())
+    assert main["total_posts"] == 4 and main["site"]["total_posts"] == 4 and len(list((out / "backups").glob("*.json"))) >= 1
+    assert "Rejected: 0" in (out / "validation_summary.txt").read_text()
+    entries = [json.loads(line) for p in (out / "indexes/timeline_index").glob("*.json") for line in p.read_text().splitlines()]
+    assert {e["month"] for e in entries} == {"2020-01", "2019-01"} and len(entries) == 4
+
+
+def test_historical_run(spark, tmp_path):
+    rows = [(f"https://s.example.com/blog/{y}/0{y % 9 + 1}/old-post.html", f"<h1>Old {y}</h1><div class=entry-content>{'text ' * 40 if y != 2007 else ''}</div>") for y in (2003, 2006, 2007, 2012, 2020)]
+    found = cli.run_historical(spark, spark.createDataFrame(rows, "url string, html string"), str(tmp_path / "h"), CONFIG)
+    assert (found["total"], found["extracted"], found["failed"]) == (3, 2, 1) and abs(found["success_rate"] - 200 / 3) < 1e-9
+    assert sorted(p.name for p in (tmp_path / "h/markdown").glob("*.md")) == ["2006-09-01_Old_2006.md", "2012-06-01_Old_2012.md"]
