@@ -60,6 +60,8 @@ STEP = 0x9E3779B97F4A7C15
 HEAD, TAIL = 5000, 14_000
 #: Margin from which a word counts as an insult in a document.
 HIT = 0.5
+#: Margin from which a word's runs of a letter are looked at; clean words lie below it.
+NEAR = -0.9
 CUT = 0.7
 WORD = re.compile(r"[^\s.,;:!?\"()\[\]{}|]+(?:[.,;:!?|]+[^\s.,;:!?\"()\[\]{}|]+)*")
 INNER = re.compile(r"[\W_]+")
@@ -215,11 +217,9 @@ class Stream:
 
 
 def views(word: str) -> list[str]:
-    """What is scored for a word: itself, without inner punctuation and with one letter for each run of a letter too, in overlapping windows if it is long."""
+    """What is scored for a word: itself, without inner punctuation too, in overlapping windows if it is long."""
     inner = INNER.sub("", word)
     found = [word] if inner == word or not inner else [word, inner]
-    if len(single := RUNS.sub(r"\1", inner)) < len(inner):
-        found.append(single)
     return [w[at : at + LONGEST] for w in found for at in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2)]
 
 
@@ -258,7 +258,15 @@ class Machine:
         self.__init__(table, state["bias"], state["weights"], state["windows"])
 
     def margins(self, words: list[str]) -> list[float]:
-        """Margins of distinct words: the best of their views."""
+        """Margins of distinct words: the best of their views; of a word that is near an insult, with one letter for each run of a letter too."""
+        out = self.plain_margins(words)
+        near = [i for i in np.flatnonzero((out > NEAR) & (out < HIT)) if RUNS.search(words[i])]
+        if near:
+            single = self.plain_margins([RUNS.sub(r"\1", INNER.sub("", words[i])) for i in near])
+            out[near] = np.maximum(out[near], single)
+        return out.tolist()
+
+    def plain_margins(self, words: list[str]) -> np.ndarray:
         flat = [(v, i) for i, w in enumerate(words) for v in views(w)]
         out = np.full(len(words), -np.inf)
         strings = [v for v, _ in flat]
@@ -269,7 +277,7 @@ class Machine:
                     keys, weights, norms = features([strings[i] for i in some], n)
                     margin = self.bias + (self.table[keys] * weights).sum(axis=1) / norms
                     np.maximum.at(out, np.array([flat[i][1] for i in some]), margin)
-        return np.where(np.isinf(out), -1.0, out).tolist()  # a word without a subsequence is no insult
+        return np.where(np.isinf(out), -1.0, out)  # a word without a subsequence is no insult
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.cache]
@@ -450,16 +458,14 @@ def train(samples: list[tuple[str, int]], rates: tuple[float, float] = (1.0, 1.0
         # a clean word counts by its documents, so that short frequent ones are not taken for the stems they begin (and a rare one for those left out)
         # and a toxic one by its own
         cost = np.concatenate((3 * np.sqrt([min(400, support[w]) for w in positive]), np.full(len(variants), 1.5), np.sqrt([min(400, 1 + every[w]) for w in learned]) * share))
-        table, bias = fit_table(words, y, cost, landmarks, learned)
+        table, bias = fit_table(words, y, cost, landmarks, learned, harder=1 if again else HARDER)
         if again:  # the other clean words that look toxic are learned too
             known = set(learned)
             others = [w for w in negative if w not in known]
             margins = Machine(table, bias, ()).margins(others)
-            harder = [w for w, m in zip(others, margins, strict=True) if m > -0.3]
-            if not harder:
-                break
-            learned = harder + learned
-            share = [1.0] * len(harder) + share
+            toxic_like = [w for w, m in zip(others, margins, strict=True) if m > -0.3]
+            learned = toxic_like + learned
+            share = [1.0] * len(toxic_like) + share
     machine = Machine(table, bias, ())
     machine.windows = train_windows(samples, positive, machine)
     described = []
@@ -545,11 +551,11 @@ def train_windows(samples: list[tuple[str, int]], positive: list[str], machine:
     return table, bias
 
 
-def fit_table(words: list[str], y: np.ndarray, cost: np.ndarray, landmarks: list[str], negative: list[str], span: int = SPAN) -> tuple[np.ndarray, float]:
+def fit_table(words: list[str], y: np.ndarray, cost: np.ndarray, landmarks: list[str], negative: list[str], span: int = SPAN, harder: int = HARDER) -> tuple[np.ndarray, float]:
     """Nystroem features and the machine on them, folded into a table of subsequences, and the bias."""
     landmarks = landmarks + negative[: 2 * CLEAN_LANDMARKS : 2]
     like = np.empty((len(words), 0), np.float32)
-    for again in range(HARDER + 1):  # the clean words that look most toxic become landmarks too
+    for again in range(harder + 1):  # the clean words that look most toxic become landmarks too
         like = np.concatenate((like, kernel(words, landmarks[like.shape[1] :], span)), axis=1)
         inside = kernel(landmarks, landmarks, span).astype(float)
         values, vectors = np.linalg.eigh((inside + inside.T) / 2)
@@ -558,7 +564,7 @@ def fit_table(words: list[str], y: np.ndarray, cost: np.ndarray, landmarks: list
         x = like @ root.astype(np.float32)
         w = fit_svm(x, y, cost)
         beta, bias = root @ w[:-1], float(w[-1])
-        if again < HARDER:
+        if again < harder:
             margin = x[y < 0] @ w[:-1] + bias
             known = set(landmarks)
             landmarks += [v for k in np.argsort(-margin) if (v := negative[k]) not in known][:CLEAN_LANDMARKS]
