@@ -82,7 +82,7 @@ def subsequences(n: int, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     return places, DECAY ** (places[:, -1] - places[:, 0] + 1 - ORDER).astype(float)
 
 
-def features(words: list[str], n: int, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(words: list[str], n: int, span: int = SPAN, with_norms: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(slots of the subsequences, weights, norms) of words of equal length, n characters with the mark before the first."""
     places, weights = subsequences(n, span)
     codes = np.array([[1, *map(code, w)] for w in words], np.int64).reshape(-1, n)
@@ -92,14 +92,18 @@ def features(words: list[str], n: int, span: int = SPAN) -> tuple[np.ndarray, np
     keys = (keys * 0x9E3779B1 >> 9) & SLOTS - 1
     if span == NARROW:
         return keys, weights, np.full(len(words), np.sqrt((weights**2).sum()))
+    return keys, weights, norms_of(keys, weights) if with_norms else None
+
+
+def norms_of(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Norms of rows of weighted slots, equal slots of a row taken together."""
     order = np.argsort(keys, axis=1)
     ranked, mass = np.take_along_axis(keys, order, 1), weights[order]
     total = np.cumsum(mass, axis=1)
-    last = np.concatenate((ranked[:, 1:] != ranked[:, :-1], np.ones((len(words), 1), bool)), axis=1)
+    last = np.concatenate((ranked[:, 1:] != ranked[:, :-1], np.ones((len(keys), 1), bool)), axis=1)
     until = np.where(last, total, 0)
-    before = np.concatenate((np.zeros((len(words), 1)), np.maximum.accumulate(until, axis=1)[:, :-1]), axis=1)
-    norms = np.sqrt((np.where(last, total - before, 0) ** 2).sum(axis=1))
-    return keys, weights, np.maximum(norms, 1e-12)
+    before = np.concatenate((np.zeros((len(keys), 1)), np.maximum.accumulate(until, axis=1)[:, :-1]), axis=1)
+    return np.maximum(np.sqrt((np.where(last, total - before, 0) ** 2).sum(axis=1)), 1e-12)
 
 
 def by_length(words: list[str]) -> Iterator[tuple[int, list[int]]]:
@@ -267,6 +271,7 @@ class Machine:
         return out.tolist()
 
     def plain_margins(self, words: list[str]) -> np.ndarray:
+        """Margins, exact from NEAR on; below it a bound that is below NEAR too."""
         flat = [(v, i) for i, w in enumerate(words) for v in views(w)]
         out = np.full(len(words), -np.inf)
         strings = [v for v, _ in flat]
@@ -274,8 +279,12 @@ class Machine:
             if n >= ORDER:
                 for at in range(0, len(rows), 512):
                     some = rows[at : at + 512]
-                    keys, weights, norms = features([strings[i] for i in some], n)
-                    margin = self.bias + (self.table[keys] * weights).sum(axis=1) / norms
+                    keys, weights, _ = features([strings[i] for i in some], n, with_norms=False)
+                    sums = (self.table[keys] * weights).sum(axis=1)
+                    margin = self.bias + np.maximum(sums, 0) / np.sqrt((weights**2).sum())  # no norm is less, so no margin more
+                    close = np.flatnonzero(margin >= NEAR)
+                    if len(close):
+                        margin[close] = self.bias + sums[close] / norms_of(keys[close], weights)
                     np.maximum.at(out, np.array([flat[i][1] for i in some]), margin)
         return np.where(np.isinf(out), -1.0, out)  # a word without a subsequence is no insult
 
