@@ -13,14 +13,17 @@ from .stand_ins import SITE, documents, events, orders, pages, posts
 
 PROFILE = UrlProfile(required=("/post-",), min_parts=1, min_slug=1)
 HOST = "regexp_extract(url, '^([a-z]+://[^/]*)', 1)"
-ID = F.col("page_id").cast("string")
+
+
+def _id():
+    return F.col("page_id").cast("string")
 
 
 def _listing(spark, sf) -> DataFrame:
     """(url, html): a listing page for each year and place that ids fall into, linking to the ids' posts; the first place of a third of the years is missing."""
     year, k = 2005 + F.pmod("page_id", F.lit(10)), F.pmod(F.floor(F.col("page_id") / 10), F.lit(3))
     place = F.when(k == 0, F.concat(F.lit("/notes/"), year.cast("string"))).when(k == 1, F.concat(F.lit("/notes?year="), year.cast("string"))).otherwise(F.concat(F.lit("/blog/"), year.cast("string")))
-    rows = pages(spark, sf).where((year % 3 != 0) | (k > 0)).select(F.concat(F.lit("https://blog.example.com"), place).alias("url"), F.concat(F.lit('<li><a href="/post-'), ID, F.lit('">p</a>')).alias("link"))
+    rows = pages(spark, sf).where((year % 3 != 0) | (k > 0)).select(F.concat(F.lit("https://blog.example.com"), place).alias("url"), F.concat(F.lit('<li><a href="/post-'), _id(), F.lit('">p</a>')).alias("link"))
     return rows.groupBy("url").agg(F.concat(F.lit("<ul>"), F.array_join(F.array_sort(F.collect_list("link")), ""), F.lit("</ul>")).alias("html"))
 
 
@@ -55,7 +58,7 @@ def _sections(spark, sf):
     """Section and archive pages of one site, each linking to the posts of the ids that fall to it."""
     paths = F.array(*map(F.lit, ("/notes", "/blog-archive", "/?view=archive", "/archive", "/blog", "/journal/", "/posts/archive")))
     at = F.element_at(paths, (F.col("page_id") % 7 + 1).cast("int"))
-    rows = pages(spark, sf).select(F.concat(F.lit("https://blog.example.com"), at).alias("url"), F.concat(F.lit('<a class=x href="/post-'), ID, F.lit('">p</a> <a href="/about">no</a>')).alias("link"))
+    rows = pages(spark, sf).select(F.concat(F.lit("https://blog.example.com"), at).alias("url"), F.concat(F.lit('<a class=x href="/post-'), _id(), F.lit('">p</a> <a href="/about">no</a>')).alias("link"))
     return rows.groupBy("url").agg(F.array_join(F.array_sort(F.collect_list("link")), "").alias("html"))
 
 
@@ -87,7 +90,7 @@ def explored_archives(spark, sf):
 @query("""SELECT 'https://s' || page_id || '.example.com' AS site, 'https://s' || page_id || '.example.com' || CASE WHEN page_id % 2 = 0 THEN '/' ELSE '/posts/' END AS blog_url, 2 AS n_posts, '/blog/{slug}' AS patterns FROM pages""")
 def blog_structure(spark, sf):
     """A site's main page where it has articles, else its posts page."""
-    site = F.concat(F.lit("https://s"), ID, F.lit(".example.com"))
+    site = F.concat(F.lit("https://s"), _id(), F.lit(".example.com"))
     body = F.lit("<article><a href='/blog/one'>1</a></article><div class=entry><a href='/blog/two'>2</a><a href='/x'>3</a></div>")
     main = pages(spark, sf).select(F.concat(site, F.lit("/")).alias("url"), F.when(F.col("page_id") % 2 == 0, body).otherwise("<p>none</p>").alias("html"))
     rest = pages(spark, sf).select(F.concat(site, F.lit("/posts/")).alias("url"), body.alias("html"))
@@ -104,8 +107,8 @@ def explorer_preview(spark, sf):
 @query("SELECT 'https://blog.example.com/post-' || page_id AS url FROM pages")
 def crawl_union(spark, sf):
     """Posts that pages link to, and those on the page that a navigation link names."""
-    even = pages(spark, sf).where("page_id % 2 = 0").select(F.concat(F.lit("https://blog.example.com/page/"), ID).alias("url"), F.concat(F.lit("<nav><a href='/hub'>All articles</a></nav><p><a href=\"/post-"), ID, F.lit("\">p</a>")).alias("html"))
-    odd = pages(spark, sf).where("page_id % 2 = 1").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<a href="/post-'), ID, F.lit('">p</a>')))), "").alias("html")).select(F.lit("https://blog.example.com/hub").alias("url"), "html")
+    even = pages(spark, sf).where("page_id % 2 = 0").select(F.concat(F.lit("https://blog.example.com/page/"), _id()).alias("url"), F.concat(F.lit("<nav><a href='/hub'>All articles</a></nav><p><a href=\"/post-"), _id(), F.lit("\">p</a>")).alias("html"))
+    odd = pages(spark, sf).where("page_id % 2 = 1").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<a href="/post-'), _id(), F.lit('">p</a>')))), "").alias("html")).select(F.lit("https://blog.example.com/hub").alias("url"), "html")
     return discovery.crawl(even.union(odd), SITE, PROFILE)
 
 
@@ -186,10 +189,10 @@ def historical_summary(spark, sf):
 @query("""SELECT page_id, pos::INT AS pos, 'https://i.example.com/' || page_id || '/' || pos AS url, CASE WHEN pos = 1 AND page_id % 2 = 0 THEN 'p' || page_id ELSE '' END AS local_path, CASE WHEN pos = 1 THEN CASE WHEN page_id % 2 = 0 THEN 'success' ELSE 'failed' END ELSE 'skipped' END AS status FROM pages, (SELECT unnest([0, 1, 2]) AS pos)""")
 def local_image_paths(spark, sf):
     """Images with the ledger's path and status, in order."""
-    image = lambda n: F.struct(F.concat(F.lit("https://i.example.com/"), ID, F.lit(f"/{n}")).alias("original_url"), F.lit("").alias("alt_text"))
+    image = lambda n: F.struct(F.concat(F.lit("https://i.example.com/"), _id(), F.lit(f"/{n}")).alias("original_url"), F.lit("").alias("alt_text"))
     p = pages(spark, sf).select(F.col("page_id").alias("id"), F.array(image(0), image(1), image(2)).alias("images"))
     even = F.col("page_id") % 2 == 0
-    ledger = pages(spark, sf).select(F.concat(F.lit("https://i.example.com/"), ID, F.lit("/1")).alias("original_url"), F.when(even, F.concat(F.lit("p"), ID)).alias("local_path"), F.when(even, "success").otherwise("failed").alias("status"))
+    ledger = pages(spark, sf).select(F.concat(F.lit("https://i.example.com/"), _id(), F.lit("/1")).alias("original_url"), F.when(even, F.concat(F.lit("p"), _id())).alias("local_path"), F.when(even, "success").otherwise("failed").alias("status"))
     found = assets.with_local_paths(p, ledger).select(F.col("id").alias("page_id"), F.explode("images").alias("i"))
     return found.select("page_id", F.col("i.at").alias("pos"), F.col("i.original_url").alias("url"), "i.local_path", "i.status")
 
@@ -255,8 +258,8 @@ def validation_summary(spark, sf):
 
 @query("""SELECT page_id, '2020-01-02_A_title_' || page_id || '_with_marks' AS filename, 'Some Post_' || page_id || ' Here' AS spaced FROM pages""")
 def historical_names(spark, sf):
-    made = text.historical_filename(F.lit("2020-01-02T03"), F.concat(F.lit("A title! "), ID, F.lit(" with: marks?  ")))
-    return pages(spark, sf).select("page_id", made.alias("filename"), F.replace(text.title_from_slug(F.concat(F.lit("some-post_"), ID, F.lit("-here.html"))), F.lit("Post "), F.lit("Post_")).alias("spaced"))
+    made = text.historical_filename(F.lit("2020-01-02T03"), F.concat(F.lit("A title! "), _id(), F.lit(" with: marks?  ")))
+    return pages(spark, sf).select("page_id", made.alias("filename"), F.replace(text.title_from_slug(F.concat(F.lit("some-post_"), _id(), F.lit("-here.html"))), F.lit("Post "), F.lit("Post_")).alias("spaced"))
 
 
 @query("SELECT page_id, md5(url || '|' || left(html, 100)) AS key FROM pages")
@@ -267,7 +270,7 @@ def page_cache_keys(spark, sf):
 @query("""SELECT page_id, 'https://blog.example.com' || t AS target FROM (SELECT page_id, unnest(['/a/c/' || page_id, '/' || page_id, '/a/b/', '/a/', '/x?q=../y', '/a/b/d#./e']) AS t FROM pages)""")
 def dot_segments(spark, sf):
     """References with . and .. against /a/b/page."""
-    forms = F.array(F.concat(F.lit("../c/"), ID), F.concat(F.lit("../../../"), ID), F.lit("."), F.lit(".."), F.lit("/./z/../x?q=../y"), F.lit("./d#./e"))
+    forms = F.array(F.concat(F.lit("../c/"), _id()), F.concat(F.lit("../../../"), _id()), F.lit("."), F.lit(".."), F.lit("/./z/../x?q=../y"), F.lit("./d#./e"))
     rows = pages(spark, sf).select("page_id", F.explode(forms).alias("href"))
     return rows.select("page_id", urls.absolute_url(F.col("href"), SITE, F.lit("https://blog.example.com/a/b/page?x=1")).alias("target"))
 

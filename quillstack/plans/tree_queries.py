@@ -10,7 +10,10 @@ from ..operators import extract, markdown
 from .registry import query
 from .stand_ins import SITE, pages
 
-ID = F.col("page_id").cast("string")
+
+
+def _id():
+    return F.col("page_id").cast("string")
 
 
 def _made(spark, sf) -> DataFrame:
@@ -19,21 +22,21 @@ def _made(spark, sf) -> DataFrame:
     say = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     when = lambda test, *parts: F.when(test, say(*parts)).otherwise(F.lit(""))
     html = say(
-        "<!DOCTYPE html><html><head><title> Page ", ID, " </title><meta name=description content='  About ", ID, " '>",
-        when(k(4) == 0, "<meta name='author' content='Meta ", ID, "'>"),
+        "<!DOCTYPE html><html><head><title> Page ", _id(), " </title><meta name=description content='  About ", _id(), " '>",
+        when(k(4) == 0, "<meta name='author' content='Meta ", _id(), "'>"),
         when(k(3) != 0, "<meta property='article:published_time' content='2019-05-0", (k(9) + 1).cast("string"), "'>"),
         "<script type='application/ld+json'>{\"@type\": \"", F.when(k(5) == 0, "BlogPosting").otherwise("Person"), "\", \"datePublished\": \"2020-01-0", (k(7) + 1).cast("string"), "\", \"dateModified\": \"2021-02-03\"}</script></head><body>",
-        "<nav class='menu'><a href='/blog/'>Our <b>Blog</b></a><a href='/blog/'>Blog again</a><a href='/x'>Other</a><a href='/news/", ID, "'>News ", ID, "</a></nav>",
-        "<article class='entry'>", when(k(2) == 0, "<h1 class='entry-title'>The <i>title</i>\n of ", ID, "</h1>"), when(k(2) == 1, "<h1> Plain ", ID, "</h1>"),
-        "<div class='blog-meta'><span class='date'>Jan ", (k(9) + 1).cast("string"), ", 2011</span></div>", when(k(4) == 1, "<span class='entry-author'> Ann ", ID, "</span>"),
-        when(k(10) != 7, "<div class='entry-content'><h2>Part ", ID, "</h2><p>Some words &amp; more of ", ID, ".</p><p>Second <script>no()</script>paragraph.</p>"),
-        when(k(10) == 7, "<div class='entry-content'>short</div><div class='post-content'><p>A text that is longer than fifty characters in all, number ", ID, "</p>"),
-        "<figure><img src='/img/", ID, ".png' alt='alt ", ID, "' width='", (k(3) * 50).cast("string"), "' height='80'><figcaption> Cap <b>", ID, "</b></figcaption></figure><img src='i.gif' width=40 height=auto><img src='' alt=x>",
-        "<a href='../up/", ID, "' title=t>Up</a> <a href='#'>none</a> <a href='https://blog.example.com/blog/2020/some-post-", ID, "'>in</a> <a href='mailto:a@b.example'>m</a> <a href='../up/", ID, "'>again</a></div>",
+        "<nav class='menu'><a href='/blog/'>Our <b>Blog</b></a><a href='/blog/'>Blog again</a><a href='/x'>Other</a><a href='/news/", _id(), "'>News ", _id(), "</a></nav>",
+        "<article class='entry'>", when(k(2) == 0, "<h1 class='entry-title'>The <i>title</i>\n of ", _id(), "</h1>"), when(k(2) == 1, "<h1> Plain ", _id(), "</h1>"),
+        "<div class='blog-meta'><span class='date'>Jan ", (k(9) + 1).cast("string"), ", 2011</span></div>", when(k(4) == 1, "<span class='entry-author'> Ann ", _id(), "</span>"),
+        when(k(10) != 7, "<div class='entry-content'><h2>Part ", _id(), "</h2><p>Some words &amp; more of ", _id(), ".</p><p>Second <script>no()</script>paragraph.</p>"),
+        when(k(10) == 7, "<div class='entry-content'>short</div><div class='post-content'><p>A text that is longer than fifty characters in all, number ", _id(), "</p>"),
+        "<figure><img src='/img/", _id(), ".png' alt='alt ", _id(), "' width='", (k(3) * 50).cast("string"), "' height='80'><figcaption> Cap <b>", _id(), "</b></figcaption></figure><img src='i.gif' width=40 height=auto><img src='' alt=x>",
+        "<a href='../up/", _id(), "' title=t>Up</a> <a href='#'>none</a> <a href='https://blog.example.com/blog/2020/some-post-", _id(), "'>in</a> <a href='mailto:a@b.example'>m</a> <a href='../up/", _id(), "'>again</a></div>",
         "<div class='tags'><a rel='tag' href='/t/1'>red</a><a href='/t/2'> blue ", (k(6)).cast("string"), "</a><a href='/t/1'>red</a></div><div class='categories'><a href='/c'>cat ", (k(4)).cast("string"), "</a></div></article>",
         "<div class='blog-item post'>x</div><div class='blog-item'>y</div></body></html>",
     )
-    return pages(spark, sf).select("page_id", F.concat(F.lit("https://blog.example.com/blog/"), (2000 + k(20)).cast("string"), F.lit("/1/2/"), ID).alias("url"), html.alias("html"))
+    return pages(spark, sf).select("page_id", F.concat(F.lit("https://blog.example.com/blog/"), (2000 + k(20)).cast("string"), F.lit("/1/2/"), _id()).alias("url"), html.alias("html"))
 
 
 MADE = "SELECT page_id, page_id % 2 AS k2, page_id % 3 AS k3, page_id % 4 AS k4, page_id % 5 AS k5, page_id % 7 AS k7, page_id % 9 AS k9, page_id % 10 AS k10, page_id::VARCHAR AS i, 'https://blog.example.com/blog/' || (2000 + page_id % 20) || '/1/2/' || page_id AS url FROM pages"
@@ -152,8 +155,8 @@ def extract_posts_fields(spark, sf):
 def html_markdown(spark, sf):
     """Cleaned HTML as Markdown: headings, emphasis, code, links, lists, quotes, rules, images; rooted links made full, scripts gone."""
     html = F.concat(
-        F.lit("<script>x</script><h1>Head "), ID, F.lit("</h1><p>One <em>two</em> <strong>three</strong> <code>four</code> <a href='/p/"), ID, F.lit("'>five</a></p><ul><li>a<li>b "), ID,
-        F.lit("</ul><blockquote>quoted</blockquote><pre>code "), ID, F.lit("</pre><hr><p class='sqs-x' data-y=1><img src='/i.png' alt=pic></p><style>y</style>"),
+        F.lit("<script>x</script><h1>Head "), _id(), F.lit("</h1><p>One <em>two</em> <strong>three</strong> <code>four</code> <a href='/p/"), _id(), F.lit("'>five</a></p><ul><li>a<li>b "), _id(),
+        F.lit("</ul><blockquote>quoted</blockquote><pre>code "), _id(), F.lit("</pre><hr><p class='sqs-x' data-y=1><img src='/i.png' alt=pic></p><style>y</style>"),
     )
     return pages(spark, sf).select("page_id", markdown.html_to_markdown(html, SITE).alias("markdown"))
 
@@ -163,9 +166,9 @@ def html_markdown(spark, sf):
 def markdown_body_choice(spark, sf):
     """A post's body is its HTML, else its Markdown, else its text, else a mark; its images follow."""
     k = F.col("page_id") % 3
-    image = F.struct(F.concat(F.lit("https://i.example.com/"), ID, F.lit(".png")).alias("original_url"), F.lit(None).cast("string").alias("alt_text"), F.concat(F.lit("c "), ID).alias("caption"))
+    image = F.struct(F.concat(F.lit("https://i.example.com/"), _id(), F.lit(".png")).alias("original_url"), F.lit(None).cast("string").alias("alt_text"), F.concat(F.lit("c "), _id()).alias("caption"))
     link = F.array().cast("array<struct<url:string,text:string,title:string,type:string>>")
-    rows = pages(spark, sf).select("page_id", F.when(k == 0, F.concat(F.lit("<p>Kept "), ID, F.lit("</p>"))).alias("content_html"), F.lit("").alias("content_markdown"), F.when(k < 2, F.concat(F.lit("plain "), ID)).alias("content_text"), F.array(image).alias("images"), link.alias("links"))
+    rows = pages(spark, sf).select("page_id", F.when(k == 0, F.concat(F.lit("<p>Kept "), _id(), F.lit("</p>"))).alias("content_html"), F.lit("").alias("content_markdown"), F.when(k < 2, F.concat(F.lit("plain "), _id())).alias("content_text"), F.array(image).alias("images"), link.alias("links"))
     return rows.select("page_id", markdown.markdown_body(SITE).alias("body"))
 
 
@@ -174,8 +177,8 @@ def markdown_body_choice(spark, sf):
 def markdown_front_matter(spark, sf):
     none = F.lit("").cast("string")
     rows = pages(spark, sf).select(
-        "page_id", F.concat(F.lit("T "), ID).alias("title"), F.lit("2020-01-02").alias("published_date"), F.lit("A").alias("author"), none.alias("excerpt"), none.alias("meta_description"), F.array().cast("array<string>").alias("categories"),
-        F.array(F.lit("x"), F.concat(F.lit("y"), ID)).alias("tags"), none.alias("url"), F.concat(F.lit("s"), ID).alias("slug"), (F.col("page_id") + 1).cast("int").alias("word_count"),
+        "page_id", F.concat(F.lit("T "), _id()).alias("title"), F.lit("2020-01-02").alias("published_date"), F.lit("A").alias("author"), none.alias("excerpt"), none.alias("meta_description"), F.array().cast("array<string>").alias("categories"),
+        F.array(F.lit("x"), F.concat(F.lit("y"), _id())).alias("tags"), none.alias("url"), F.concat(F.lit("s"), _id()).alias("slug"), (F.col("page_id") + 1).cast("int").alias("word_count"),
         F.array().cast("array<struct<original_url:string>>").alias("images"),
     )
     return rows.select("page_id", markdown.front_matter("2024-01-01").alias("front"))
