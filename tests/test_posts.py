@@ -93,8 +93,9 @@ def test_archive_shapes(spark, tmp_path):
     back = readers.archive(spark, str(tmp_path / "archive"))
     assert back.count() == 4 and archive.completeness(back).first().completeness == 100.0
     sinks.write_indexes(posts, str(tmp_path / "index"))
-    line = next(p for p in (tmp_path / "index/timeline_index").glob("part-*") if p.stat().st_size)
-    assert sorted(json.loads(line.read_text())["index"]) == ["2019", "2020"]
+    entries = [json.loads(line) for p in sorted((tmp_path / "index/timeline_index").glob("part-*")) for line in p.read_text().splitlines()]
+    assert {e["year"] for e in entries} == {"2019", "2020"}  # a row an entry, by month and newest first
+    assert entries == sorted(sorted(entries, key=lambda e: (e["date"], -e["pos"]), reverse=True), key=lambda e: e["month"])
     n = sinks.write_named_files(markdown.markdown_files(posts, SITE, "2024-01-01"), str(tmp_path / "md"))
     body = (tmp_path / "md/2020-01-05-t.md").read_text()
     assert n == len(list((tmp_path / "md").glob("*.md"))) and body.startswith("---\ntitle: T") and "archived_date" in body
@@ -202,6 +203,6 @@ def test_config(tmp_path):
     path = tmp_path / "c.json"
     save_config(CONFIG, str(path))
     assert load_config(str(path)) == CONFIG and load_config(str(tmp_path / "none.json")) == Config()
-    path.write_text('{"scraping": {"speed": 1}}')
+    path.write_text('{"urls": {"speed": 1}}')
     with pytest.raises(ValueError, match="speed"):
         load_config(str(path))
