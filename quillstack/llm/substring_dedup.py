@@ -5,8 +5,8 @@ values; prefix sums make a window a subtraction and a product). A window's hash
 second; words themselves are not compared, so of 10**13 distinct windows one false match in thousands of such corpora is expected. Within a block
 of documents equal windows meet first: all but those of the smallest doc_id are repeats whatever else the corpus holds, so a window in a third of all
 documents leaves each block once. The remaining distinct hashes are packed, eleven bytes a window with its place, and dealt by hash range (in two hops
-where there are more ranges than a block should send messages to); the receiving task counts them by sorting and tells, for each, whether a smaller
-doc_id has it (a shuffle of packed runs, then numpy: a row a window would be five times the data). Covered starts go, packed too, to the task of
+where there are more ranges than a block should send messages to), one range to a task; the receiving task counts them by sorting and tells, for each, whether
+a smaller doc_id has it (a shuffle of packed runs, then numpy: a row a window would be five times the data). Covered starts go, packed too, to the task of
 their row's number, whatever text it has, merge into maximal intervals, and wait in the shared folder for the task that reads the row: texts are
 read again and cut where they are, never shuffled.
 
@@ -37,20 +37,25 @@ BLOCK_WORDS = 1 << 20
 TASK_WINDOWS = 1 << 21
 #: Ranges that a block sends messages to at most; beyond, a first hop goes to as many groups of ranges.
 FAN = 1 << 12
-WORD_CACHE = 1 << 19
 #: Bytes of a window's hash: eight of the first polynomial, three of the second.
 HASH_BYTES = 11
+SECOND_BITS = np.uint64((1 << 8 * (HASH_BYTES - 8)) - 1)
 
 
 class WordHashes(dict):
-    """Word to the two halves of its XXH3 value, emptied when large."""
+    """Word to the two halves of its XXH3 value. None are kept: a kept value takes some 210 bytes, and hashing all words of a text at once is quicker than finding theirs. A subclass may set others."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= WORD_CACHE:
-            self.clear()
         both = xxhash.xxh3_128_intdigest(word)
-        value = self[word] = (both & 0xFFFFFFFFFFFFFFFF, both >> 64)
-        return value
+        return both & 0xFFFFFFFFFFFFFFFF, both >> 64
+
+    def halves(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the second halves of all words."""
+        if type(self) is WordHashes:
+            both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").reshape(-1, 2)[:, ::-1].astype(np.uint64)
+        else:
+            both = np.array([self[w] for w in words], np.uint64).reshape(-1, 2)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -120,9 +125,9 @@ def _task_of(number: np.ndarray, targets: int) -> np.ndarray:
 
 
 def _replies(table: np.ndarray, document: np.ndarray, place: np.ndarray, targets: int) -> Iterator[tuple[int, bytes]]:
-    """Covered starts, packed for the tasks that gather them: (-1 - task, message)."""
+    """Covered starts (ascending by document and place), packed for the tasks that gather them: (-1 - task, message)."""
     task = _task_of(table[:, 1], targets)
-    order = np.lexsort((place, document, task[document]))
+    order = np.argsort(task[document], kind="stable")
     document, place = document[order], place[order]
     of = task[document]
     cuts = np.flatnonzero(np.diff(of, prepend=-1, append=targets))
@@ -141,77 +146,93 @@ def _messages(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 def _range_of(first: np.ndarray, ranges: int) -> np.ndarray:
     """The range of a hash: its leading bits."""
-    return ((first >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    return ((first >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
 
 
-def _by_range(table: np.ndarray, document: np.ndarray, place: np.ndarray, first: np.ndarray, second: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Windows packed by bucket: documents and places, then the hashes."""
-    order = np.lexsort((place, document, bucket))
-    document, place, bucket = document[order], place[order], bucket[order]
-    raw = np.empty((len(order), HASH_BYTES), np.uint8)
-    raw[:, :8] = first[order].view(np.uint8).reshape(-1, 8)
-    raw[:, 8:] = second[order].view(np.uint8).reshape(-1, 8)[:, : HASH_BYTES - 8]
-    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+def _by_range(table: np.ndarray, document: np.ndarray, place: np.ndarray, first: np.ndarray, second: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """Windows (ascending by document and place) packed by range: documents and places, then the hashes."""
+    bucket = _range_of(first, ranges)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=ranges))
     for a, b in zip(cuts, cuts[1:], strict=False):
-        part = document[a:b]
+        some = order[a:b]
+        part = document[some]
         fresh = np.flatnonzero(np.diff(part, prepend=-1))
-        yield int(bucket[a]), encode_places(table[part[fresh]], np.diff(np.append(fresh, b - a)), place[a:b]) + raw[a:b].tobytes()
-
-
-def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(table, document, place, first, second) of messages."""
-    parts = [decode_places(blob) for blob in blobs]
-    tables = np.concatenate([p[0] for p in parts])
-    document = np.repeat(np.arange(len(tables), dtype=np.int32), np.concatenate([p[1] for p in parts]))
-    place = np.concatenate([p[2] for p in parts])
-    packed = np.concatenate([np.frombuffer(blob, np.uint8, offset=p[3]).reshape(-1, HASH_BYTES) for blob, p in zip(blobs, parts, strict=True)])
-    raw = np.zeros((len(place), 8), np.uint8)
-    raw[:, : HASH_BYTES - 8] = packed[:, 8:]
-    return tables, document, place, np.ascontiguousarray(packed[:, :8]).view(np.uint64).ravel(), raw.view(np.uint64).ravel()
-
-
-def _ordered(first: np.ndarray, second: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(order, starts) of groups of equal hashes; the second part is only sorted by where first parts meet by chance."""
-    order = np.argsort(first, kind="stable") if owner is None else np.lexsort((owner, first))
-    a, b = first[order], second[order]
-    same = a[1:] == a[:-1]
-    if (same & (b[1:] != b[:-1])).any():
-        order = np.lexsort((second, first)) if owner is None else np.lexsort((owner, second, first))
-        a, b = first[order], second[order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        raw = np.empty((b - a, HASH_BYTES), np.uint8)
+        raw[:, :8] = first[some].view(np.uint8).reshape(-1, 8)
+        raw[:, 8:] = second[some].view(np.uint8).reshape(-1, 4)[:, : HASH_BYTES - 8]
+        yield int(bucket[some[0]]), encode_places(table[part[fresh]], np.diff(np.append(fresh, b - a)), place[some]) + raw.tobytes()
+
+
+def _unpacked(blobs: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(table, document, place, first, second) of messages; takes them out of the list, so that they are not held beside what they become."""
+    documents, places = np.array([np.frombuffer(blob, np.int32, 2) for blob in blobs], np.int64).sum(axis=0).tolist()
+    tables, document, place = np.empty((documents, 2), np.int64), np.empty(places, np.int32), np.empty(places, np.int32)
+    first, second = np.empty(places, np.uint64), np.zeros(places, np.uint32)
+    blobs.reverse()
+    row = at = 0
+    while blobs:
+        blob = blobs.pop()
+        table, size, found, read = decode_places(blob)
+        end = at + len(found)
+        tables[row : row + len(table)] = table
+        document[at:end] = np.repeat(np.arange(row, row + len(table), dtype=np.int32), size)
+        place[at:end] = found
+        packed = np.frombuffer(blob, np.uint8, offset=read).reshape(-1, HASH_BYTES)
+        first[at:end].view(np.uint8).reshape(-1, 8)[:] = packed[:, :8]
+        second[at:end].view(np.uint8).reshape(-1, 4)[:, : HASH_BYTES - 8] = packed[:, 8:]
+        row, at = row + len(table), end
+    return tables, document, place, first, second
+
+
+def _ordered(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts) of groups of equal hashes, as given within a group; the second part is only sorted by where first parts meet by chance."""
+    order = np.argsort(first, kind="stable")
+    ranked = first[order]
+    same = ranked[1:] == ranked[:-1]
+    pairs = np.flatnonzero(same)
+    if (second[order[pairs]] != second[order[pairs + 1]]).any():
+        order = np.lexsort((second, first))
+        ranked, other = first[order], second[order]
+        same = (ranked[1:] == ranked[:-1]) & (other[1:] == other[:-1])
     return order, np.concatenate(([True], ~same))
 
 
 def _block_messages(ids: list[int], numbers: list[int], hashes: list[tuple[np.ndarray, np.ndarray]], targets: int, ranges: int) -> pa.RecordBatch:
-    """Covered starts known inside the block (bucket < 0), and the packed distinct windows by range."""
-    first, second = (np.concatenate(h) for h in zip(*hashes, strict=True))
-    second = second & np.uint64((1 << 8 * (HASH_BYTES - 8)) - 1)
-    count = np.fromiter((len(h) for h, _ in hashes), np.int64, len(hashes))
-    document = np.repeat(np.arange(len(ids)), count)
-    place = np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
-    owner = np.array(ids, np.int64)[document]
+    """Covered starts known inside the block (bucket < 0), and the packed distinct windows by range; empties the list of hashes."""
     table = np.array([ids, numbers], np.int64).T
-    order, starts = _ordered(first, second, owner)
-    first, second, document, place, owner = first[order], second[order], document[order], place[order], owner[order]
-    covered = owner > owner[np.flatnonzero(starts)][np.cumsum(starts) - 1]
+    by_id = np.argsort(table[:, 0], kind="stable")
+    table = table[by_id]
+    count = np.array([len(hashes[k][0]) for k in by_id])
+    first, second = (np.concatenate([hashes[k][half] for k in by_id]) for half in (0, 1))
+    hashes.clear()
+    document = np.repeat(np.arange(len(ids), dtype=np.int32), count)
+    place = np.arange(len(first), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)
+    order, starts = _ordered(first, second)
+    owner = table[document[order], 0]  # ascending in a group
+    heads = np.flatnonzero(starts)
+    covered = np.empty(len(order), bool)
+    covered[order] = owner > np.repeat(owner[heads], np.diff(np.append(heads, len(owner))))
+    del order, starts, owner, heads
     rows = [*_replies(table, document[covered], place[covered], targets)] if covered.any() else []
-    first, second, document, place = (x[~covered] for x in (first, second, document, place))
-    return _messages(rows + [*_by_range(table, document, place, first, second, _range_of(first, ranges))])
+    if rows:
+        first, second, document, place = (x[~covered] for x in (first, second, document, place))
+    return _messages(rows + [*_by_range(table, document, place, first, second, ranges)])
 
 
 def _hash_windows(width: int, targets: int, ranges: int, word_hashes: Callable = WordHashes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, rolling, size = word_hashes(), [RollingHash(width, base) for base in BASES], 0
+        values, rolling, size = word_hashes(), [RollingHash(width, base) for base in BASES], 0
         ids, numbers, hashes = [], [], []
         for batch in batches:
             for doc_id, number, text in zip(batch["doc_id"].to_pylist(), batch["__no"].to_pylist(), bytes_of(batch["text"]), strict=True):
                 words = text.split()
                 if doc_id is None or len(words) < width:
                     continue
-                values = np.array([cache[w] for w in words], dtype=np.uint64)
+                first, second = (r.windows(half) for r, half in zip(rolling, values.halves(words), strict=True))
                 ids.append(doc_id)
                 numbers.append(number)
-                hashes.append((rolling[0].windows(np.ascontiguousarray(values[:, 0])), rolling[1].windows(np.ascontiguousarray(values[:, 1]))))
+                hashes.append((first, (second & SECOND_BITS).astype(np.uint32)))
                 size += len(words)
                 if size >= BLOCK_WORDS:
                     yield _block_messages(ids, numbers, hashes, targets, ranges)
@@ -226,23 +247,21 @@ def _deal_again(ranges: int) -> Callable:
     """The second hop: what a group of ranges got, some blocks at a time, by its ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        held: list[pa.Buffer] = []
         size = 0
 
         def dealt() -> pa.RecordBatch:
-            table, document, place, first, second = _unpacked(held)
-            held.clear()
-            return _messages([*_by_range(table, document, place, first, second, _range_of(first, ranges))])
+            return _messages([*_by_range(*_unpacked(held), ranges)])
 
         for batch in batches:
             bucket = batch["bucket"].to_numpy()
             known = pa.array(bucket < 0)
             if known.true_count:
                 yield batch.filter(known)
-            for k, blob in zip(bucket.tolist(), batch["payload"].to_pylist(), strict=True):
+            for k, blob in zip(bucket.tolist(), batch["payload"], strict=True):
                 if k >= 0:
-                    held.append(blob)
-                    size += len(blob)
+                    held.append(blob.as_buffer())
+                    size += held[-1].size
                     if size >= BLOCK_WORDS * HASH_BYTES:
                         yield dealt()
                         size = 0
@@ -256,15 +275,16 @@ def _find_repeats(targets: int) -> Callable:
     """Count the windows of each hash range over all blocks; give back covered starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = defaultdict(list)
+        held: dict[int, list[pa.Buffer]] = defaultdict(list)  # one range, as they are dealt
         for batch in batches:
             bucket = batch["bucket"].to_numpy()
             known = pa.array(bucket < 0)
             if known.true_count:
                 yield batch.filter(known)
-            for k, blob in zip(bucket.tolist(), batch["payload"].to_pylist(), strict=True):
+            for k, blob in zip(bucket.tolist(), batch["payload"], strict=True):
                 if k >= 0:
-                    held[k].append(blob)
+                    held[k].append(blob.as_buffer())
+        batch = bucket = known = blob = None  # each would keep a batch beside what is made of it
         for k in list(held):
             rows = [*_repeats_of(held.pop(k), targets)]
             if rows:
@@ -273,7 +293,7 @@ def _find_repeats(targets: int) -> Callable:
     return run
 
 
-def _repeats_of(blobs: list[bytes], targets: int) -> Iterator[tuple[int, bytes]]:
+def _repeats_of(blobs: list[pa.Buffer], targets: int) -> Iterator[tuple[int, bytes]]:
     tables, document, place, first, second = _unpacked(blobs)
     order, fresh = _ordered(first, second)
     shared = ~fresh  # only hashes that more than one entry has go on
@@ -281,12 +301,11 @@ def _repeats_of(blobs: list[bytes], targets: int) -> Iterator[tuple[int, bytes]]
     order, fresh = order[shared], fresh[shared]
     if not len(order):
         return
-    document, place = document[order], place[order]
-    owner = tables[document, 0]
+    owner = tables[document[order], 0]
     starts = np.flatnonzero(fresh)
     least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(owner))))
-    covered = owner > least
-    if covered.any():
+    covered = np.sort(order[owner > least])
+    if len(covered):
         yield from _replies(tables, document[covered], place[covered], targets)
 
 
@@ -362,10 +381,10 @@ def removal_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     letters = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(shuffle_partitions(spark), -(-letters // 6 // task_windows))  # a word has about six bytes; more or fewer only change the size of tasks
     groups = min(ranges, fan)
-    sent = numbered(base).mapInArrow(_hash_windows(width, ranges, groups, word_hashes), MESSAGE).repartition(groups, "bucket")
+    sent = numbered(base).mapInArrow(_hash_windows(width, ranges, groups, word_hashes), MESSAGE).repartitionById(groups, "bucket")
     if groups < ranges:
-        sent = sent.mapInArrow(_deal_again(ranges), MESSAGE).repartition(ranges, "bucket")
-    replies = sent.mapInArrow(_find_repeats(ranges), MESSAGE).repartition(ranges, "bucket")
+        sent = sent.mapInArrow(_deal_again(ranges), MESSAGE).repartitionById(ranges, "bucket")
+    replies = sent.mapInArrow(_find_repeats(ranges), MESSAGE).repartitionById(ranges, "bucket")
     return replies.mapInArrow(_assemble(width), "doc_id long, __no long, spans binary")
 
 

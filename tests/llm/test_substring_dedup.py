@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,6 +63,46 @@ def test_forced_collisions_and_two_hops_change_nothing(spark):
     assert intervals(spark, rows, task_windows=100, fan=4) == plain  # a few hundred ranges in two hops
 
 
+def test_a_task_counts_one_range(spark, monkeypatch):
+    real = substring_dedup._find_repeats
+
+    def watched(targets):
+        def run(batches):
+            seen = set()
+
+            def noted():
+                for batch in batches:
+                    seen.update(k for k in batch["bucket"].to_pylist() if k >= 0)
+                    yield batch
+
+            yield from real(targets)(noted())
+            if len(seen) > 1:  # each holds two million windows
+                raise RuntimeError(f"{len(seen)} ranges in one task")
+
+        return run
+
+    plain = intervals(spark, awkward())
+    monkeypatch.setattr(substring_dedup, "_find_repeats", watched)
+    assert intervals(spark, awkward(), task_windows=200) == plain
+    assert intervals(spark, awkward(), task_windows=200, fan=4) == plain
+
+
+def test_hashing_a_block_of_new_words_stays_small():
+    def batches():
+        for at in range(0, 1 << 20, 1 << 16):
+            words = [f"w{k}" for k in range(at, at + (1 << 16))]
+            texts = [" ".join(words[k : k + 512]) for k in range(0, len(words), 512)]
+            ids = pa.array(range(at, at + len(texts)), pa.int64())
+            yield pa.record_batch([ids, ids, pa.array(texts)], ["doc_id", "__no", "text"])
+
+    tracemalloc.start()
+    sent = sum(batch.num_rows for batch in substring_dedup._hash_windows(50, 16, 16)(batches()))
+    peak = tracemalloc.get_traced_memory()[1] >> 20
+    tracemalloc.stop()
+    assert sent == 16
+    assert peak < 120, f"{peak} MB"
+
+
 def test_replies_of_copies_are_spread():
     numbers = np.concatenate([(np.int64(part) << 33) + np.arange(100) for part in range(100)])  # 10,000 rows of one text, a hundred a task
     load = np.bincount(_task_of(numbers, 64), minlength=64)
