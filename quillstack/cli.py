@@ -6,7 +6,6 @@ import argparse
 import datetime
 import logging
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -187,7 +186,7 @@ def run_historical(spark: SparkSession, pages: DataFrame, folder: str, config: C
 
 
 def discover(pages: DataFrame, sitemaps: DataFrame | None, feeds: DataFrame | None, config: Config) -> DataFrame:
-    """(url, method) over the methods that there is input for."""
+    """(url, method) over the methods that there is input for, each URL once by each."""
     methods = {"crawl": discovery.crawl(pages, config.site_url, config.urls)}
     root = pages.sparkSession.createDataFrame([(config.site_url.rstrip("/"),)], "site string")
     at = lambda paths: discovery.posts_at(discovery.places(root, discovery.expanded(paths, config.sections)), pages, config.site_url, config.urls).select(F.col("post").alias("url"))
@@ -198,7 +197,7 @@ def discover(pages: DataFrame, sitemaps: DataFrame | None, feeds: DataFrame | No
         methods["sitemap"] = readers.post_urls(sitemaps, "content", readers.sitemap_locations, config.urls)
     if feeds is not None:
         methods["rss"] = readers.post_urls(feeds, "content", readers.feed_links, config.urls)
-    return reduce(DataFrame.unionByName, [discovery.union_methods({k: v}) for k, v in methods.items()])
+    return discovery.union_methods({k: v.select("url").distinct() for k, v in methods.items()})
 
 
 def main(args: list[str] | None = None) -> None:

@@ -46,6 +46,12 @@ def test_discover(spark):
     assert {(r.url, r.method) for r in found.collect()} == {("https://s.example.com/blog/some-post", "sitemap")}
 
 
+def test_discover_gives_a_url_once_by_a_method(spark):
+    maps = [(name, "<loc>https://s.example.com/blog/some-post</loc>") for name in ("s", "t")]
+    found = cli.discover(pages(spark, 1), spark.createDataFrame(maps, "source string, content string"), None, CONFIG)
+    assert [tuple(r) for r in found.collect()] == [("https://s.example.com/blog/some-post", "sitemap")]
+
+
 def test_create_config(tmp_path):
     cli.main(["create-config", str(tmp_path / "c.json")])
     assert json.loads((tmp_path / "c.json").read_text())["sections"] == ["blog"]
