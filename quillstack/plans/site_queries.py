@@ -295,8 +295,7 @@ def progress_marks(spark, sf):
 
 @query("""SELECT count(*) AS total_operations, date_diff('second', min(ts), max(ts))::DOUBLE AS execution_time_seconds, max(value) AS peak_memory_mb, arg_max(value, (ts, value)) AS memory_usage_mb, round(count(*) / date_diff('second', min(ts), max(ts)), 6) AS operations_per_second FROM events""")
 def run_metrics(spark, sf):
-    whole = events(spark, sf).withColumn("ts", F.date_trunc("second", "ts"))
-    return state.run_metrics(whole, "ts", "value").withColumn("operations_per_second", F.round("operations_per_second", 6))
+    return state.run_metrics(events(spark, sf), "ts", "value").withColumn("operations_per_second", F.round("operations_per_second", 6))
 
 
 @query("""SELECT event_id, coalesce(nullif(concat_ws('|', CASE WHEN value > 2048 THEN 'memory: smaller partitions' END, CASE WHEN value < 0.5 THEN 'speed: look at the source' END, CASE WHEN value > 90 THEN 'processor: fewer tasks at a time' END, CASE WHEN event_id % 2 = 0 THEN 'cache: hardly used' END), ''), 'nothing to change') AS advice FROM events""")

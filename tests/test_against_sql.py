@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pytest
 
 from quillstack.plans import ORACLES, QUERIES
@@ -26,3 +28,11 @@ def test_methods_keep_repeated_urls(spark, tmp_path):
     rows = [(1, "https://h/a", ""), (2, "https://h/a", ""), (3, "https://h/b", ""), (4, "https://h/a", "")]
     found, wanted = both(spark, tmp_path, "method_rows", pages=("page_id BIGINT, url VARCHAR, html VARCHAR", rows))
     assert found == wanted and len(found) == 6
+
+
+def test_last_memory_within_a_second(spark, tmp_path):
+    """The last of the events of one second counts, not the largest of them; whole seconds pass between the first and the last."""
+    at = lambda *t: datetime.datetime(*t)
+    rows = [(1, at(1969, 12, 31, 23, 59, 58, 700000), 3.0), (2, at(1970, 1, 1, 0, 0, 1, 100000), 9.0), (3, at(1970, 1, 1, 0, 0, 1, 200000), 4.0), (4, at(1970, 1, 1, 0, 0, 1, 200000), 5.0), (5, at(1970, 1, 1, 0, 0, 1, 300000), None)]
+    found, wanted = both(spark, tmp_path, "run_metrics", events=("event_id BIGINT, ts TIMESTAMP, value DOUBLE", rows))
+    assert found == wanted == [(5, 3.0, 9.0, 5.0, round(5 / 3, 6))]
