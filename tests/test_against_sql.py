@@ -38,7 +38,7 @@ def test_last_memory_within_a_second(spark, tmp_path):
     assert found == wanted == [(5, 3.0, 9.0, 5.0, round(5 / 3, 6))]
 
 
-@pytest.mark.parametrize("query", ["validate_posts", "validation_issues"])
+@pytest.mark.parametrize("query", ["validate_posts", "doc_validation_report", "validation_issues"])
 def test_blank_first_lines_and_texts(spark, tmp_path, query):
     texts = ["\nrest", "  \nrest", "", "   ", "\n", "\n\n \n", "\t\nabc", "\u00a0", "\u00a0\n", "\x0b\nabc", "plain\nlines", "<b>x</b> " + "y" * 250, "a" * 201 + "\nz", "  <i>" + "b " * 120]
     rows = [(100 * n + k, t, None if n == 10 and k > 11 else "en", "src1", len(t)) for n, t in enumerate(texts) for k in (3, 4, 5, 6, 7, 8, 10, 11, 12, 13)]
